@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate
+from tidemill.llm import decontaminate, packing
 from tidemill.llm.common import table
 
 
@@ -10,7 +10,12 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_packing(spark, sf_dir):
+    return packing.op2(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
 }
 
