@@ -10,9 +10,9 @@ from tidemill.llm import packing
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=25), st.sampled_from([1, 3, 8]))
-def test_plan_places_each_piece_once_without_gaps(histogram, groups):
-    plan = packing.Plan(histogram, 64, groups)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=25), st.sampled_from([(2, 1), (8, 3), (3, 8)]))
+def test_plan_places_each_piece_once_without_gaps(histogram, shape):
+    plan = packing.Plan(histogram, 64, *shape)
     placed, fill = set(), defaultdict(list)
     for length, first, past, base, each, at in plan.rows:
         for r in range(first, past):

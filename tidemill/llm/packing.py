@@ -33,8 +33,9 @@ SEQUENCE = 2048
 END_ID = 0
 #: Words whose ids a task remembers; only speed depends on it.
 CACHE_WORDS = 300_000
-#: Group counts that are planned; the plan with the fewest sequences is taken.
-GROUPS = (8, 16, 32, 64)
+#: What is planned, as (a sequence's share from which a length is large, groups);
+#: the plan with the fewest sequences is taken.
+PLANS = ((2, 16), (3, 8), (4, 8), (8, 16))
 
 
 def tokenizer_path() -> str:
@@ -178,29 +179,29 @@ class Plan:
     (r - first) // each, at offset + (r - first) % each * length.
     """
 
-    def __init__(self, histogram: dict[int, int], capacity: int, groups: int):
+    def __init__(self, histogram: dict[int, int], capacity: int, share: int, groups: int):
         self.capacity, self.rows, self.sequences = capacity, [], 0
         self.open: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room left: (first, count)
         self.left = {n: [(0, c)] for n, c in sorted(histogram.items(), reverse=True) if c}  # numbers not yet placed
-        self._large(histogram, groups)
+        self._large(histogram, share, groups)
         for length in list(self.left):
             for first, past in self.left[length]:
                 self._best_fit(length, first, past)
 
-    def _large(self, histogram: dict[int, int], groups: int) -> None:
-        """Lengths over an eighth of a sequence: rounded up in groups, then configured."""
-        lengths = sorted((n for n, c in histogram.items() if c and n > self.capacity // 8), reverse=True)
+    def _large(self, histogram: dict[int, int], share: int, groups: int) -> None:
+        """Lengths over that share of a sequence: rounded up in groups, then configured."""
+        lengths = sorted((n for n, c in histogram.items() if c and n > self.capacity // share), reverse=True)
         total = sum(histogram[n] for n in lengths)
         if not total:
             return
         runs: list[list[tuple[int, int, int]]] = [[]]  # of each group: (length, first, past)
-        room = share = -(-total // groups)
+        room = members = -(-total // groups)
         for n in lengths:
             first = 0
             while first < histogram[n]:
                 if not room:
                     runs.append([])
-                    room = share
+                    room = members
                 take = min(room, histogram[n] - first)
                 runs[-1].append((n, first, first + take))
                 first, room = first + take, room - take
@@ -285,7 +286,7 @@ class Plan:
 
 
 def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> Plan:
-    return min((Plan(histogram, capacity, g) for g in GROUPS), key=lambda p: p.sequences)
+    return min((Plan(histogram, capacity, *x) for x in PLANS), key=lambda p: p.sequences)
 
 
 def pack(
