@@ -48,6 +48,11 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def _row(carry: list[str]) -> Column:
+    """A struct of the carried columns; of a null where there are none, as no struct is empty."""
+    return F.struct(*([F.col(f"`{c}`") for c in carry] or [F.lit(None).cast("boolean").alias("none")])).alias("row")
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[list[str | None]], list[list]]],
@@ -62,7 +67,7 @@ def map_text(
     unread inside the struct column ``row``; the fields come in the struct
     column ``out``, so no name can clash.
     """
-    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    inner = df.select(_row(carry), F.col(f"`{text_col}`").alias("text"))
     types = [to_arrow_type(f.dataType) for f in result.fields]
     names = [f.name for f in result.fields]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, packing
+from tidemill.llm import decontaminate, packing, toxicity
 from tidemill.llm.common import table
 
 
@@ -14,9 +14,14 @@ def op2_packing(spark, sf_dir):
     return packing.op2(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op5_toxicity": op5_toxicity,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
