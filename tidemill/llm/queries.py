@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, packing, toxicity
+from tidemill.llm import decontaminate, line_dedup, packing, quality, secrets, toxicity
 from tidemill.llm.common import table
 
 
@@ -18,16 +18,46 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup.op4(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secrets(spark, sf_dir):
+    return secrets.op8(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
+    "op8_secrets": op8_secrets,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = rf"coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, text, string_split(text, chr(10)) AS ls
+  FROM documents),
+l AS (SELECT r, host, i, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+c AS (SELECT host, trim(line, ' ') AS k, count(DISTINCT r) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
+h AS (SELECT host, count(*) AS total FROM d GROUP BY host),
+b AS (SELECT host, k FROM c JOIN h USING (host) WHERE pages >= 5 AND pages > 0.05 * total),
+x AS (SELECT r, i, line, b.k IS NOT NULL AS gone FROM l LEFT JOIN b ON l.host = b.host AND trim(line, ' ') = b.k),
+y AS (
+  SELECT r, count(*) AS n, count(*) FILTER (gone) AS g, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept
+  FROM x GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(g, 0) AS n_dropped,
+  CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
+FROM d LEFT JOIN y USING (r)""",
     "op3_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS3} AS w FROM documents),
 b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item_id, {_WORDS3} AS w FROM benchmark),
