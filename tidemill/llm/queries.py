@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, line_dedup, packing, quality, secrets, toxicity
+from tidemill.llm import decontaminate, html_main, line_dedup, packing, quality, secrets, toxicity
 from tidemill.llm.common import table
 
 
@@ -30,7 +30,12 @@ def op8_secrets(spark, sf_dir):
     return secrets.op8(table(spark, sf_dir, "documents"))
 
 
+def op1_html_main(spark, sf_dir):
+    return html_main.op1(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_html_main": op1_html_main,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
