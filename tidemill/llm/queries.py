@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_main, line_dedup, packing, quality, secrets, toxicity
+from tidemill.llm import decontaminate, html_main, line_dedup, ngram_join, packing, quality, secrets, toxicity
 from tidemill.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op1_html_main(spark, sf_dir):
     return html_main.op1(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main": op1_html_main,
     "op2_packing": op2_packing,
@@ -42,6 +46,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,4 +85,18 @@ items AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op10_ngram_join": rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS sh
+  FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.r <> b.r GROUP BY ALL),
+l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+m AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
 }
