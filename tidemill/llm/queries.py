@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_main, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from tidemill.llm import decontaminate, html_main, lattice_lm, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity
 from tidemill.llm.common import table
 
 
@@ -38,14 +38,24 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.op10(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice_lm(spark, sf_dir):
+    return lattice_lm.op6(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark, sf_dir):
+    return pii.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main": op1_html_main,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_lattice_lm": op6_lattice_lm,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
+    "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
 }
 
