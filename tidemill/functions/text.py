@@ -124,7 +124,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def keywords(c: Column, most: int = 30) -> Column:
     """Distinct non-blank parts between ; | , and newlines, thirty at most."""
-    parts = F.transform(F.split(c, r"[;|\n,]+"), F.trim)
+    parts = F.transform(F.split(c, r"[;|\n,]+"), lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(parts, lambda x: x != "")), 1, most)
 
 
