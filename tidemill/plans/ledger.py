@@ -139,7 +139,7 @@ SELECT source, id, n AS round FROM r WHERE n <= 10""")
 def round_robin_sample(spark, sf_dir):
     """Ten of each stratum, to be dealt out in rounds."""
     n = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("totalcost"), "id"))
-    return tenders(spark, sf_dir).select("source", "id", n.alias("round")).filter("round <= 10")
+    return tenders(spark, sf_dir).select("source", "id", n.cast("long").alias("round")).filter("round <= 10")
 
 
 @query("""

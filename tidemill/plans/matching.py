@@ -109,7 +109,7 @@ SELECT query, near, cos, rank FROM r WHERE rank <= 10""", views=False)
 def knn_cosine(spark, sf_dir):
     """The ten nearest of each query vector, exactly."""
     e = table(spark, sf_dir, "embeddings")
-    return retrieval.nearest(e, e.filter("vec_id % 50 = 0"), 10).select("query", "near", F.round("cos", 6).alias("cos"), "rank")
+    return retrieval.nearest(e, e.filter("vec_id % 50 = 0"), 10).select("query", "near", F.round("cos", 6).alias("cos"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{PAIRS} WHERE q.vec_id % 50 = 0),
@@ -132,7 +132,7 @@ def rrf_hybrid(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "near"))
     top = fused.withColumn("place", place).filter("place <= 10")
     kept = top.join(e.select(F.col("vec_id").alias("near"), "label"), "near").filter("label <> 3")
-    return kept.select("query", "near", F.round("score", 9).alias("score"), "place")
+    return kept.select("query", "near", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query("""

@@ -73,7 +73,7 @@ def work_queue(spark, sf_dir):
     top = tenders(spark, sf_dir).select("id", "close_at", alive.alias("is_live")).orderBy(F.desc("is_live"), "close_at", F.desc("id")).limit(50)
     # fifty rows at most are numbered in one place
     place = F.row_number().over(Window.orderBy(F.desc("is_live"), "close_at", F.desc("id")))
-    return top.select("id", "is_live", place.alias("place"))
+    return top.select("id", "is_live", place.cast("long").alias("place"))
 
 
 @query("SELECT status, source, count(*) AS n, count(*) FILTER (WHERE close_at IS NOT NULL) AS with_deadline FROM tenders GROUP BY ALL")
