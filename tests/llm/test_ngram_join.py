@@ -42,8 +42,10 @@ def copies(n, seed, words=60, changes=3):
     return out
 
 
-@pytest.mark.parametrize("tile", [2_000_000, 400])
-def test_components(spark, tile):
+@pytest.mark.parametrize("tile, points", [(2_000_000, 20_000), (400, 9)])
+def test_components(spark, tile, points, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOKEN_POINTS", points)
+    monkeypatch.setattr(ngram_join, "FEW_NODES", points // 2)
     rows = brute.documents()
     texts = copies(40, 1) + copies(25, 2, 30) + ["A b C d e"] * 3 + ["a B c d E"] + ["one two"] * 2
     rows += [(None if i % 9 == 8 else 500_000 - i, t, "en", "s", 1) for i, t in enumerate(texts)]

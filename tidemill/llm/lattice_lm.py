@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,12 @@ class Pieces:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
         self.none = n
+        by_length: dict[int, list[str]] = {}
+        for p in self.ids:
+            by_length.setdefault(len(p), []).append(p)
+        hashed = np.concatenate([next(self._hashes("".join(own), length))[-1] for length, own in by_length.items()])
+        order = np.argsort(hashed)
+        self.hashed, self.hashed_id = hashed[order], np.array([self.ids[p] for own in by_length.values() for p in own])[order]
         if log_p is None:
             # merge scores fall by one a rank; a rank's weight falls as one by it
             scores = np.array([model.get_score(i) for i in range(n)])
@@ -67,6 +73,17 @@ class Pieces:
             log_p = np.log(np.maximum(weight / weight.sum(), 1e-300))
         self.log_p = np.append(log_p, -np.inf)
 
+    @staticmethod
+    def _hashes(joined: str, length: int, longest: int | None = None) -> Iterator[list[np.ndarray]]:
+        """64-bit hashes of what starts at each position, for words of one length joined."""
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length).astype(np.uint64)
+        for i in range(length):
+            h, found = np.zeros(len(codes), np.uint64), []
+            for j in range(i, min(length, i + (longest or length))):
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + codes[:, j] + np.uint64(1)
+                found.append(h)
+            yield found
+
     def lattices(self, words: list[bytes]):
         """Words by length as (positions, arcs, ids of the arcs' pieces), words with
         characters that no piece has, and very long ones, singly."""
@@ -74,14 +91,16 @@ class Pieces:
         shown = ["▁" + w.decode("utf-8", "surrogatepass") for w in words]
         for k, w in enumerate(shown):
             by_length.setdefault(len(w), []).append(k)
-        get, none = self.ids.get, self.none
+        none = self.none
         for length, at in by_length.items():
             if length > _LONG:
                 yield from (([k], *self._single(shown[k])) for k in at)
                 continue
             arcs = [(i, j) for i in range(length) for j in range(i + 1, min(length, i + self.longest) + 1)]
-            cuts = [slice(i, j) for i, j in arcs]
-            ids = np.array([[get(w[c], none) for c in cuts] for w in map(shown.__getitem__, at)])
+            found = self._hashes("".join(map(shown.__getitem__, at)), length, self.longest)
+            keys = np.stack([h for row in found for h in row], axis=1)
+            place = np.minimum(np.searchsorted(self.hashed, keys), len(self.hashed) - 1)
+            ids = np.where(self.hashed[place] == keys, self.hashed_id[place], none)
             single = [a for a, (i, j) in enumerate(arcs) if j == i + 1]
             odd = (ids[:, single] == none).any(axis=1)
             if odd.any():
@@ -131,11 +150,12 @@ class Pieces:
             last = len(alpha) - 1
             turned = [(last - j, last - i) for i, j in arcs]
             beta = self.forward(turned, weight)
-            for a, (i, j) in enumerate(arcs):
-                share = np.exp(np.minimum(alpha[i] + weight[:, a] + beta[last - j] - alpha[last], 0)) * counts[at]
-                for k in range(ids.shape[2]):
-                    own = ids[:, a, k]
-                    np.add.at(total, own[own >= 0], share[own >= 0])
+            begin, end = (np.array(x) for x in zip(*arcs))
+            through = np.array(alpha)[begin] + np.array(beta)[last - end] - alpha[last]
+            share = np.exp(np.minimum(through.T + weight, 0)) * counts[at][:, None]
+            for k in range(ids.shape[2]):
+                own = ids[:, :, k].ravel()
+                total += np.bincount(own[own >= 0], share.ravel()[own >= 0], len(total))
         return total[:-1]
 
 

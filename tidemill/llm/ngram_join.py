@@ -2,14 +2,15 @@
 
 1. Shingles are hashed to 64 bits. Their hash groups are counted over the whole
    corpus into a table of fixed size; shingles of rare groups come first.
-2. Sets that share four fifths of their union share one of their first
-   n - ceil(0.8 n) + 1 shingles in any common order. Documents that share such a
-   shingle, with no gap in size between them, are candidates: neighbours in order
-   of size are enough to find what could hang together (a block).
-3. Within a block the counts of a set's shingles in a few hundred hash groups are
-   a point. An R-tree over the points bounds the overlap of a set with all sets
-   under a node by the summed coordinate minima; what survives is verified on the
-   sets themselves. Pairs that links already join need no check of their own.
+2. The counts of a set's shingles in a few hundred hash groups are a point. An
+   R-tree over points bounds the overlap of a set with all sets under a node by
+   the summed coordinate minima.
+3. Sets that share four fifths of their union share one of their first
+   n - ceil(0.8 n) + 1 shingles in any common order. The points of the documents
+   that have such a shingle make an R-tree; what its bound lets hang together,
+   over all shingles, is a block.
+4. Within a block an R-tree finds the pairs that the sets themselves verify.
+   Pairs that links already join need no check of their own.
 
 Equal sets are one node however many documents have them. A block too large for
 one task is cut in tiles; tiles are joined alone, then by a few sets of each part
@@ -42,6 +43,10 @@ GROUPS = 256
 LEAF = 16
 #: Shingles of a tile, at most: 8 bytes each.
 TILE_SHINGLES = 2_000_000
+#: A token of so many nodes at most is known by the list of them.
+FEW_NODES = 32
+#: Points of a token that are joined at once: 1 KB each.
+TOKEN_POINTS = 20_000
 #: Candidates (16 bytes each) that are broadcast to fetch their texts, at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,6 +74,20 @@ def _groups(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
+def point_of(found: np.ndarray) -> np.ndarray:
+    """How many shingles each coordinate's hash group has."""
+    return np.bincount((found % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
+def packed(point: np.ndarray) -> bytes:
+    """Two bytes a coordinate where that is enough, else four; the length tells."""
+    return point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, "<u2" if len(point) == 2 * GROUPS else "<u4").astype(np.int32)
+
+
 def group_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """How many shingles of the corpus each hash group has; a table of fixed size."""
     slices, width = 64, (1 << ORDER_BITS) // 64
@@ -106,15 +125,17 @@ _SIGNED = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("key", T.BinaryType()),
         T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("point", T.BinaryType()),
     ]
 )
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text hash, set size, key of the set, and its first shingles in the common order."""
+    """A number for the row, id, text hash, set size, key of the set, its first
+    shingles in the common order, and its point."""
     counts = docs.sparkSession.sparkContext.broadcast(group_counts(docs, text_col))
-    inner = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([*inner.schema.fields[:2], *_SIGNED.fields])
+    inner = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([*inner.schema.fields[:3], *_SIGNED.fields])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -122,8 +143,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sizes, keys, firsts = [], [], []
-                for text in part.column(2):
+                sizes, keys, firsts, points = [], [], [], []
+                for text in part.column(3):
                     found = shingles(text.as_py())
                     n = len(found)
                     sizes.append(n)
@@ -131,8 +152,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     take = n + (-n * PERCENT // 100) + 1
                     order = np.lexsort((found, counts.value[_groups(found)]))[:take]
                     firsts.append(found[order].view(np.int64) if n else None)
+                    points.append(packed(point_of(found)) if n else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
+                    [*part.columns[:3], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                     names=schema.names,
                 )
 
@@ -202,9 +224,7 @@ def join_sets(sets: list[np.ndarray], parts: np.ndarray) -> list[tuple[int, int]
     """Links that join the sets' components, as pairs of positions; parts: what is joined already."""
     order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    points = np.zeros((len(order), GROUPS), np.int32)
-    for row, i in zip(points, order):
-        row += np.bincount((sets[i] % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    points = np.array([point_of(sets[i]) for i in order])
     tree, part, links = CountTree(points, sizes), parts[order].copy(), []
     for i in range(len(order)):
         near = tree.query(points[i], int(sizes[i]))
@@ -221,6 +241,76 @@ def join_sets(sets: list[np.ndarray], parts: np.ndarray) -> list[tuple[int, int]
     return links
 
 
+def join_points(points: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of positions that join all points between which the bound allows a link."""
+    if len(points) == 2:  # most buckets
+        a, b = sizes.tolist()
+        near = min(a, b) * 100 >= PERCENT * max(a, b)
+        return [(0, 1)] if near and int(np.minimum(*points).sum()) * (100 + PERCENT) >= PERCENT * (a + b) else []
+    tree, part, pairs = CountTree(points, sizes), np.arange(len(points)), []
+    for i in range(len(points)):
+        near = tree.query(points[i], int(sizes[i]))
+        for p in np.unique(part[near[part[near] != part[i]]]):
+            pairs.append((i, int(near[part[near] == p][0])))
+            part[part == p] = part[i]
+    return pairs
+
+
+def candidates(shared: DataFrame, points: DataFrame) -> DataFrame:
+    """Edges (a, b) that join whatever could be linked, from rows (token, node, n).
+
+    Nodes alone with a token, or without a neighbour near enough in size, leave
+    first; the points of the others go to their tokens, and an R-tree over the
+    points of each token tells which could overlap enough.
+    """
+    order = Window.partitionBy("token").orderBy("n", "node")
+    lower = 100 * F.lag("n").over(order) >= PERCENT * F.col("n")
+    upper = 100 * F.col("n") >= PERCENT * F.lead("n").over(order)
+    rows = shared.withColumn("near", F.coalesce(lower, F.lit(False)) | F.coalesce(upper, F.lit(False)))
+    rows = rows.filter("near").select("token", "node", F.count("*").over(Window.partitionBy("token")).alias("count"))
+    rows = stored(rows, "shared")
+    # tokens of copies have the same few nodes over and over: once is enough
+    few = rows.filter(F.col("count") <= FEW_NODES).groupBy("token").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    few = few.select("nodes").distinct().select(F.xxhash64("nodes").alias("token"), F.explode("nodes").alias("node"), F.lit(0).alias("tile"))
+    # a token of very many nodes is read in pairs of tiles
+    many = rows.filter(F.col("count") > FEW_NODES).withColumn("tiles", F.ceil(F.col("count") / TOKEN_POINTS).cast("int"))
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    pair = lambda t: F.least(mine, t) * F.col("tiles") + F.greatest(mine, t)
+    many = many.select("token", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), pair)).alias("tile"))
+    rows = few.unionByName(many).join(points, "node").select("token", "tile", "node", "n", "point")
+    # the rows of a token follow one another, so tokens are read as a stream
+    rows = rows.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "node")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        token, done, found = None, set(), []
+
+        def close() -> None:
+            nodes = tuple(x[0] for x in held)
+            if len(nodes) > 1 and nodes not in done:  # tokens of copies have the same nodes over and over
+                if len(done) > 100_000:
+                    done.clear()
+                done.add(nodes)
+                made = np.array([unpacked(x[2]) for x in held])
+                found.extend((nodes[i], nodes[j]) for i, j in join_points(made, np.array([x[1] for x in held])))
+            held.clear()
+
+        for batch in batches:
+            for t, tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (t, tile) != token:
+                    close()
+                    token = (t, tile)
+                held.append(tuple(row))
+            if found:
+                pairs, found = list(dict.fromkeys(found)), []
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
+        close()
+        if found:
+            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
+
+    return rows.mapInArrow(read, "a long, b long")
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """Joining links (a, b) within each (block, tile) of rows with node, part and set."""
 
@@ -236,53 +326,61 @@ def _links(sets: DataFrame) -> DataFrame:
     return sets.groupBy("block", "tile").applyInArrow(join, "a long, b long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast up to a number of rows, else joined as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def candidate_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, block, n and set of the nodes, their texts read again."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
-    wanted = nodes.select(F.col("id").alias("of"), F.col("text_hash").alias("hash"), "node", "block")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    """The nodes (block, tile, node, part, id, text_hash) with their sets, texts read again."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("of"), F.xxhash64(f"`{text_col}`").alias("hash"), F.col(f"`{text_col}`").alias("text"))
     same = (F.col("text_hash") == F.col("hash")) & F.col("id").eqNullSafe(F.col("of"))
-    rows = texts.join(wanted, same).select("node", "block", "text")
-    schema = "node long, block long, n long, set binary"
+    rows = texts.join(_small(nodes), same).select("block", "tile", "node", "part", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(map(len, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
-                names=["node", "block", "n", "set"],
-            )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [shingles(t.as_py()).tobytes() for t in part.column(4)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], names=["block", "tile", "node", "part", "set"])
+
+    return rows.mapInArrow(cut, "block long, tile int, node long, part long, set binary")
 
-    return rows.mapInArrow(cut, schema)
 
+def _apart(signed: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes that share a first shingle with a node of another part, with their
+    parts after the links. No others can have a link left to find."""
+    labels = components(links)
+    parted = stored(nodes.drop("part").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label"), "parted")
+    own = signed.select(F.col("row").alias("node"), "prefix").join(_small(parted.select("node", "part")), "node")
+    tokens = own.select("node", "part", F.explode("prefix").alias("token"))
+    mixed = tokens.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
+    left = stored(tokens.join(mixed, "token", "left_semi").select("node").distinct(), "apart")
+    return parted.join(left, "node", "left_semi")
 
-def _verified(sets: DataFrame, tile_shingles: int) -> DataFrame:
+
+def _verified(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str, tile_shingles: int) -> DataFrame:
     """node and label of the components that verified links make within blocks."""
-    sizes = sets.groupBy("block").agg(F.sum("n").alias("total"))
-    tiles = F.ceil(F.col("total") / tile_shingles).cast("int")
-    sizes = stored(sizes.select("block", tiles.alias("tiles")), "blocks")
+    sizes = nodes.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
     # nodes of a large block are dealt over its tiles by hash
-    sets = sets.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1))).cast("int"))
-    links = stored(_links(sets.withColumn("part", F.col("node"))), "links")
-    large = sizes.filter("tiles > 1")
-    if not large.count():
-        return components(links)
-    large_sets = sets.join(large.select("block"), "block", "left_semi")
+    nodes = nodes.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    nodes = stored(nodes.withColumn("part", F.col("node")), "tiled")
+    links = stored(_links(candidate_sets(docs, nodes, id_col, text_col)), "links")
+    large = nodes.filter("tiles > 1")
     for heads in (True, False):
-        labels = components(links)
-        parted = large_sets.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
-        open_blocks = parted.groupBy("block").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
-        parted = parted.join(stored(open_blocks.select("block"), "open"), "block", "left_semi")
-        if heads:  # a few sets of each part found so far join most of what a large group of copies has
+        if not large.count():
+            break
+        large = _apart(signed, large, links)
+        if heads:  # a few sets of each part join most of what a large group of copies has
             first = F.row_number().over(Window.partitionBy("block", "tile", "part").orderBy("node"))
             dealt = F.pmod(F.xxhash64("part", "node"), F.ceil(F.col("tiles") / 64)).cast("int")
-            pairs = parted.withColumn("first", first).filter("first <= 8").drop("first").withColumn("tile", dealt)
+            pairs = large.withColumn("first", first).filter("first <= 8").withColumn("tile", dealt)
         else:  # whatever is still apart: all pairs of tiles
             others = F.sequence(F.lit(0), F.col("tiles") - 1)
             pair = lambda t: F.least("tile", t) * F.col("tiles") + F.greatest("tile", t)
-            pairs = parted.withColumn("tile", F.explode(F.transform(others, pair)))
-        links = stored(links.union(_links(pairs)), "links")
+            pairs = large.withColumn("tile", F.explode(F.transform(others, pair)))
+        pairs = pairs.select("block", "tile", "node", "part", "id", "text_hash")
+        links = stored(links.union(_links(candidate_sets(docs, pairs, id_col, text_col))), "links")
     return components(links)
 
 
@@ -290,18 +388,19 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile
     """id, text_hash, n_shingles, component_id (the smallest id that links reach), and
     whether the row is the one of its component that stays (equal rows all are)."""
     signed = stored(signatures(docs, id_col, text_col), "signatures")
-    some = F.min(F.struct("id", "text_hash"))
-    nodes = signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("least"), some.alias("some"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    shared = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    order = Window.partitionBy("token").orderBy("n", "node")
-    chained = shared.select(F.lag("node").over(order).alias("a"), F.lag("n").over(order).alias("before"), F.col("node").alias("b"), "n")
-    chained = chained.filter(F.col("a").isNotNull() & (100 * F.col("before") >= PERCENT * F.col("n")))
-    blocks = components(chained.select("a", "b"))
-    wanted = nodes.select("node", "some.id", "some.text_hash").join(blocks.withColumnRenamed("label", "block"), "node")
-    sets = stored(candidate_sets(docs, wanted, id_col, text_col), "sets")
-    labels = stored(_verified(sets, tile_shingles), "labels")
-    named = nodes.select("node", "key", "least", "some").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    worded = signed.filter("n > 0")
+    # equal sets are one node, the row with the smallest id
+    reps = worded.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash", "row")).alias("some"))
+    reps = stored(reps.withColumn("node", F.col("some.row")), "reps")
+    copies = stored(worded.select("key", "row").join(reps.select("key", "node"), "key").filter("row <> node").select("row"), "copies")
+    single = worded.join(_small(copies), "row", "left_anti")
+    shared = single.select(F.col("row").alias("node"), "n", F.explode("prefix").alias("token"))
+    points = signed.select(F.col("row").alias("node"), "n", "point")
+    blocks = components(candidates(shared, points))
+    nodes = signed.select(F.col("row").alias("node"), "id", "text_hash", "n").join(_small(blocks.withColumnRenamed("label", "block")), "node")
+    labels = _verified(docs, signed, nodes, id_col, text_col, tile_shingles)
+    named = reps.select("node", "key", "least", F.struct("some.id", "some.text_hash").alias("some"))
+    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("some").alias("stays"))
     named = stored(named.join(names, "label").select("key", "component_id", "stays"), "named")
     found = signed.select("id", "text_hash", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
