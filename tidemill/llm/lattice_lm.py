@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import remainder, stored, utf8
+from tidemill.llm.common import map_arrow, remainder, stored, utf8
 
 #: Most frequent words that are looked up rather than joined (about 20 MB in a task).
 HEAD_WORDS = 150_000
@@ -37,6 +37,8 @@ HEAD_WORDS = 150_000
 ROUNDS = 2
 #: Words that a task counts before it hands them on.
 FLUSH_WORDS = 400_000
+#: Words whose lattices are summed at once, about.
+LATTICE_WORDS = 10_000
 _LONG = 28
 
 
@@ -167,6 +169,18 @@ def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
         return safe + np.log(np.exp(stack - safe).sum(axis=0))
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together: words of one length share their arithmetic."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= LATTICE_WORDS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
     """word and its count in training texts, for all words of all texts."""
     inner = docs.select(F.col(f"`{text_col}`").alias("text"), train.alias("train"))
@@ -192,7 +206,7 @@ def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
         if seen:
             yield out()
 
-    return inner.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_arrow(inner, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def fit(counts: DataFrame, path: str, n_texts: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -203,14 +217,14 @@ def fit(counts: DataFrame, path: str, n_texts: int, rounds: int = ROUNDS) -> np.
 
         def expect(batches: Iterable[pa.RecordBatch], log_p=log_p) -> Iterable[pa.RecordBatch]:
             pieces, total = Pieces(path, log_p), None
-            for batch in batches:
+            for batch in _gathered(batches):
                 got = pieces.expected(batch.column(0).to_pylist(), np.array(batch.column(1), float))
                 total = got if total is None else total + got
             if total is not None:
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["piece", "n"])
 
-        sums = counts.filter("c > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        sums = map_arrow(counts.filter("c > 0"), expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         weight = np.where(np.isfinite(log_p) & (log_p > -600), 0.05, 0.0)
         for r in sums.collect():
             weight[r["piece"]] += r["n"]
@@ -244,11 +258,11 @@ def score(docs: DataFrame, train: Column, carry: list[str], text_col: str = "tex
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         pieces = Pieces(path, log_p)
-        for batch in batches:
+        for batch in _gathered(batches):
             base, own = both(np.array(batch.column(1), float), pieces.log_likelihood(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base), pa.array(own)], names=["word", "c", "base", "own"])
 
-    words = stored(counts.mapInArrow(weigh, "word binary, c long, base double, own double"), "weighed")
+    words = stored(map_arrow(counts, weigh, "word binary, c long, base double, own double"), "weighed")
     head = words.filter("c > 1").orderBy(F.desc("c"), "word").limit(head_words).collect()
     known = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["base"], r["own"]) for r in head})
     end_base, end_own = math.log10(texts + 0.5) - below, math.log10(end)
@@ -286,7 +300,7 @@ def score(docs: DataFrame, train: Column, carry: list[str], text_col: str = "tex
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own), listed], names=schema.names)
 
-    texts_read = stored(inner.mapInArrow(read, schema), "read")
+    texts_read = stored(map_arrow(inner, read, schema), "read")
     tail = texts_read.select("key", F.explode("rest").alias("r")).select("key", "r.word", "r.times")
     tail = tail.join(words, "word").groupBy("key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("own")).alias("o")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import stored, utf8
+from tidemill.llm.common import map_arrow, stored, utf8
 
 WORDS = 5
 #: Documents link if 100 * shared >= PERCENT * united.
@@ -111,7 +111,7 @@ def group_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         return pa.table({"slice": group.column("slice")[:1], "part": pa.array([0], pa.int32()), "n": [packed]})
 
     schema = "slice int, part int, n binary"
-    counted = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, schema)
+    counted = map_arrow(docs.select(F.col(f"`{text_col}`")), count, schema)
     by_part = counted.groupBy("slice", "part").applyInArrow(summed, schema)
     rows = by_part.groupBy("slice").applyInArrow(summed, schema).collect()
     total = np.zeros((slices, width), np.int32)
@@ -158,7 +158,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=schema.names,
                 )
 
-    return inner.mapInArrow(sign, schema)
+    return map_arrow(inner, sign, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def candidates(shared: DataFrame, points: DataFrame) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
-    return rows.mapInArrow(read, "a long, b long")
+    return map_arrow(rows, read, "a long, b long")
 
 
 def _links(sets: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
                 found = [shingles(t.as_py()).tobytes() for t in part.column(4)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], names=["block", "tile", "node", "part", "set"])
 
-    return rows.mapInArrow(cut, "block long, tile int, node long, part long, set binary")
+    return map_arrow(rows, cut, "block long, tile int, node long, part long, set binary")
 
 
 def _apart(signed: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import stored
+from tidemill.llm.common import map_arrow, stored
 
 SEQUENCE = 2048
 END_ID = 0
@@ -137,7 +137,7 @@ def pieces(
                     [part.column(0).take(pa.array(took)), *columns], names=["row", *_PIECE.names]
                 )
 
-    return inner.mapInArrow(run, schema)
+    return map_arrow(inner, run, schema)
 
 
 # The plan: on the driver, over at most `sequence` lengths.

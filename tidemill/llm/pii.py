@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import map_text
+from tidemill.llm.common import map_arrow, map_text
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("email_at", "ssn", "iban", "phone_local", "ipv6", "name")
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         if seen:
             yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in seen], "votes": [c for _, c in seen], "n": [*seen.values()]})
 
-    counted = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "kind string, votes long, n long")
+    counted = map_arrow(docs.select(F.col(f"`{text_col}`")), count, "kind string, votes long, n long")
     # at most ten kinds times 3^6 patterns, whatever the corpus
     rows = counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
     return Model({(r["kind"], r["votes"]): r["n"] for r in rows})

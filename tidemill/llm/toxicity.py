@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import map_text, remainder, stored
+from tidemill.llm.common import map_arrow, map_text, remainder, stored
 
 #: Labelled rows of each class from which voters are mined, at most about.
 SAMPLE_ROWS = 8_000
@@ -130,7 +130,7 @@ def mine(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
                 yield pa.RecordBatch.from_arrays([pa.array([*counts]), pa.array([*counts.values()], pa.int64())], names=["term", "n"])
 
         part = rows.filter(F.col("label") == label).select("text")
-        return part.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return map_arrow(part, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     least = 5
     # the most frequent terms of toxic rows; a fixed number whatever the sample
@@ -185,7 +185,7 @@ def _summed(patterns: DataFrame, gain: np.ndarray, prior: float, pairs: bool) ->
                     total[k, 1 + m :] += ((bits * share[:, None]).T @ bits).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
-    got = patterns.mapInArrow(run, "sums binary").collect()
+    got = map_arrow(patterns, run, "sums binary").collect()
     return sum((np.frombuffer(r["sums"]).reshape(2, -1) for r in got), np.zeros((2, 1 + m + m * m * pairs)))
 
 
