@@ -37,6 +37,21 @@ def test_single_pages(html, want):
     assert html_main.main_text(html, None) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<h2><a class="header-link">#</a> Title</h2><p>x', "Title\nx"),
+        ('<p>a <span class="search-term">b</span> c</p><p>d</p>', "a\nc\nd"),
+        ('<article><a class="social-share">Share</a><p>one <i>two</i></p><p>three</p></article>', "one two\nthree"),
+        ('<p>a <span class="ad">b <span>c</span> d</span> e</p>', "a\ne"),
+        ('<p>a <b class="ad">b</b> <i>c</b> d</i> e</p>', "a\nc d e"),
+        ('<p><b>open<p><a class="ad">no</a> yes</b> too', "open\nyes too"),
+    ],
+)
+def test_marked_inline_elements_end(html, want):
+    assert html_main.main_text(html, None) == want
+
+
 def test_pages_of_hosts(spark):
     rows = [(i, f"http://one.example/{i}", page(i)) for i in range(30)]
     # a host without article elements: the template alone tells what repeats

@@ -64,6 +64,7 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
     """(path, whether it can be an article's, text) of each text block, in page order."""
     out: list[tuple[str, bool, str]] = []
     stack: list[tuple[str, str, bool]] = [("", "", True)]  # name, path, fit
+    inline: list[tuple[str, int]] = []  # open inline elements that are not on the stack: name, size of the stack
     text: list[str] = []
     at = 0
 
@@ -92,8 +93,17 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
             text.append(" ")
             continue
         if name in _INLINE:
-            words = _named(m[3])
-            if m[1] or not _marks(words):
+            if m[1]:
+                # unmarked ones are not on the stack; their ends must not pop a marked one around them
+                k = max((k for k, open_ in enumerate(inline) if open_ == (name, len(stack))), default=None)
+                if k is not None:
+                    del inline[k]
+                    continue
+                if all(s[0] != name for s in stack):
+                    continue
+            elif not _marks(_named(m[3])):
+                if not m[3].endswith("/"):
+                    inline.append((name, len(stack)))
                 continue
         flush()
         if m[1]:
@@ -101,10 +111,14 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
                 if stack[k][0] == name:
                     del stack[k:]
                     break
+            while inline and inline[-1][1] > len(stack):
+                inline.pop()
             continue
         ends = _CLOSES.get(name) or ({"p"} if name not in _INLINE else ())
         if stack[-1][0] in ends:
             stack.pop()
+            while inline and inline[-1][1] > len(stack):
+                inline.pop()
         words = _named(m[3])
         inside = any(s[0] in ("article", "main") for s in stack)
         fit = stack[-1][2] and not _marks(words) and (name not in _ASIDE or name == "header" and inside)
