@@ -67,5 +67,39 @@ def test_pages_of_hosts(spark):
     assert Counter(got.values())[""] == 1
 
 
+def test_template_decides(spark):
+    """An article outside <article>, a teaser inside one, boilerplate in the slot, a repeated block beside a title."""
+
+    def html(i, boilerplate="This long notice is the same on every page of the host. " * 5):
+        parts = "".join(f"<div class='part'>{'words of the article ' * 5}{i} {k}</div>" for k in range(2 + i % 3))
+        return f"<body><article><p>Teaser of {i * 7}</p></article><div class='content'><h1>Title {i}</h1>{parts}<p>{boilerplate}</p></div></body>"
+
+    rows = [(i, f"http://a.example/{i}", html(i)) for i in range(12)]
+    # no template: a host of one page
+    rows.append((100, "http://b.example/", html(100)))
+    got = {r.page_id: r.text for r in html_main.op1(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(12):
+        assert got[i].split("\n") == [f"Title {i}"] + [f"{'words of the article ' * 5}{i} {k}" for k in range(2 + i % 3)]
+    assert got[100] == "Teaser of 700"
+
+
+def test_classes_nest_as_a_whole():
+    def of(once, *tokens):
+        return {"pages": 9, "once": once, "tokens": [{"token": t, "chars": 0, "fit": True} for t in tokens]}
+
+    def names(classes):
+        return sorted(sorted(t["token"] for t in c["tokens"]) for c in html_main.nested(classes))
+
+    root = of(True, ">body", ">body>ul", ">body>div")
+    # a class in two slots is parted by slot, one of a single slot stays whole
+    assert names([of(False, ">body>ul>li", ">body>div>p", ">body>div>p 0f"), of(False, ">body>ul>b", ">body>ul>b>i"), root]) == [
+        [">body", ">body>div", ">body>ul"], [">body>div>p", ">body>div>p 0f"], [">body>ul>b", ">body>ul>b>i"], [">body>ul>li"],
+    ]
+    # a class in no slot of a valid class isn't valid, and what lies in it neither
+    assert names([root, of(True, ">body>p>b"), of(True, ">body>p>b>i")]) == [[">body", ">body>div", ">body>ul"]]
+    # two classes, each with a part in the other
+    assert names([of(True, ">body", ">body>div>h1"), of(False, ">body>div", ">body>div>h1>i")]) == [[">body"], [">body>div"], [">body>div>h1"], [">body>div>h1>i"]]
+
+
 def test_no_rows(spark):
     assert html_main.op1(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

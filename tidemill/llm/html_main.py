@@ -1,21 +1,24 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is read as tokens: element paths with their class, and text blocks. Over
-all pages of a host each token has an occurrence vector, how often it is on each
-page; tokens with equal vectors form a class, which a fingerprint of the vector,
-summed up by Spark, finds without bringing a host's pages together. Classes
-that are on enough of a host's pages and whose paths nest in one another are the
-host's template; what the template leaves open are its slots. The slot that
-holds most text outside menus, headers, footers, sidebars, notices, adverts,
-forms and comments is the article, and its blocks are the text of the page.
-
-A host of few pages, or a page that its host's template doesn't fit, is read by
-the names and classes of its own elements alone. Null and empty pages give an
+A page is read as tokens: element paths with their class, and text blocks at
+their path, by a hash. Over all pages of a host each token has an occurrence
+vector, how often it is on each page; tokens with equal vectors form a class,
+which a fingerprint of the vector, summed up by Spark, finds without bringing a
+host's pages together. Classes that are on enough of a host's pages nest as a
+whole in a slot, that is an element of another class; one whose tokens lie in
+several slots is first parted by slot. The nested classes are the host's
+template; what it leaves open is data. The innermost slot that doesn't repeat on
+a page and holds most data outside menus, headers, footers, sidebars, notices,
+adverts, forms and comments is the article, and its data is the page's text.
+
+A host without a valid template, or a page that has nothing in the article's
+slot, is read by the names and classes of its own elements alone. Null and empty pages give an
 empty text, null urls a host of their own; repeated rows are pages of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
 from html import unescape
@@ -60,9 +63,11 @@ def _named(attributes: str) -> list[str]:
     return [w for m in _ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").split()]
 
 
-def blocks(html: str) -> list[tuple[str, bool, str]]:
-    """(path, whether it can be an article's, text) of each text block, in page order."""
+def read(html: str) -> tuple[list[tuple[str, bool, str]], dict[str, list]]:
+    """(path, whether it can be an article's, text) of each text block, in page order;
+    and for each path whether all its elements can be an article's, and their number."""
     out: list[tuple[str, bool, str]] = []
+    opened: dict[str, list] = {}
     stack: list[tuple[str, str, bool]] = [("", "", True)]  # name, path, fit
     inline: list[tuple[str, int]] = []  # open inline elements that are not on the stack: name, size of the stack
     text: list[str] = []
@@ -124,8 +129,10 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
         fit = stack[-1][2] and not _marks(words) and (name not in _ASIDE or name == "header" and inside)
         if not m[3].endswith("/"):
             stack.append((name, f"{stack[-1][1]}>{'.'.join([name, *sorted(words)[:3]])}", fit))
+            seen = opened.setdefault(stack[-1][1], [fit, 0])
+            seen[0], seen[1] = seen[0] and fit, seen[1] + 1
     flush()
-    return out
+    return out, opened
 
 
 def _marks(words: list[str]) -> bool:
@@ -138,6 +145,11 @@ def _chain(path: str) -> list[str]:
     return [">".join(parts[:k]) for k in range(2, len(parts) + 1)]
 
 
+def text_token(path: str, text: str) -> str:
+    """A text block at its path: no path has a blank."""
+    return f"{path} {hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)), F.lit(""))
 
@@ -155,7 +167,8 @@ _TOKENS = T.StructType(
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """For each page (host, page, html) its tokens: paths as ">…", short texts as "=…"."""
+    """For each page (host, page, html) its tokens: paths with the characters in and
+    under them that can be an article's, and texts of any length with their own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -163,14 +176,13 @@ def tokens(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 rows = []
                 for host, page, html in zip(*(c.to_pylist() for c in part.columns)):
-                    own: dict[str, list] = {}
-                    for path, fit, text in blocks(html or ""):
-                        for p in _chain(path):
-                            own.setdefault(p, [fit, 0, 0])[1] += p == path
-                        if path:
-                            own[path][0], own[path][2] = fit, own[path][2] + len(text)
-                        if len(text) <= 200:
-                            own.setdefault("=" + text, [fit, 0, 0])[1] += 1
+                    found, opened = read(html or "")
+                    own = {path: [fit, times, 0] for path, (fit, times) in opened.items()}
+                    for path, fit, text in found:
+                        for p in _chain(path) if fit else ():
+                            own[p][2] += len(text)
+                        seen = own.setdefault(text_token(path, text), [fit, 0, 0])
+                        seen[0], seen[1], seen[2] = seen[0] and fit, seen[1] + 1, seen[2] + len(text) * fit
                     rows += [(host, page, token, *x) for token, x in own.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
@@ -182,53 +194,81 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, and its template: paths with their text and whether an article can be there, and texts.
+    """host, and its classes: number of pages, whether once on each of them, tokens.
 
-    A host has at most its mean number of tokens a page / SUPPORT of them.
+    A host has at most its mean number of tokens a page / SUPPORT of tokens.
     """
     vector = F.bit_xor(F.xxhash64("page", "times"))  # of the pages a token is on, how often it is there
     counted = tokens(pages).groupBy("host", "token").agg(
-        vector.alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.bool_and("fit").alias("fit")
+        vector.alias("vector"), F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.bool_and("fit").alias("fit")
     )
     often = counted.filter(F.col("pages") >= 2).join(pages.groupBy("host").agg(F.count("*").alias("total")), "host")
     often = often.filter(F.col("pages") >= SUPPORT * F.col("total"))
-    token = F.struct("token", "chars", "fit")
-    classes = often.groupBy("host", "vector").agg(F.collect_list(token).alias("tokens"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-
-
-def article_path(template: list[dict]) -> str | None:
-    """The innermost template path whose slot holds most of the text that can be an article's."""
-    paths = {t["token"]: t for t in template if t["token"].startswith(">")}
-    # a valid class nests: all that a path lies in is in the template too
-    paths = {p: t for p, t in paths.items() if all(q in paths for q in _chain(p))}
-    fit = {p: t["chars"] for p, t in paths.items() if t["fit"]}
-    total, best = sum(fit.values()), None
-    for p in sorted(fit, key=lambda p: (p.count(">"), p)):
-        under = sum(c for q, c in fit.items() if q == p or q.startswith(p + ">"))
-        if total and under >= MAIN_SHARE * total:
-            best = p
-    while best and re.split(r"[>.]", best.rpartition(">")[2])[0] not in _CONTAINERS:
-        best = best.rpartition(">")[0] or None
-    return best
+    classes = often.groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("token", "chars", "fit")).alias("tokens"))
+    once = (F.col("pages") == F.col("times")).alias("once")
+    return classes.groupBy("host").agg(F.collect_list(F.struct("pages", once, "tokens")).alias("template"))
+
+
+def _slot(token: str) -> str:
+    """The path that a token lies in: a text's own, a path's parent."""
+    return token.partition(" ")[0] if " " in token else token.rpartition(">")[0]
+
+
+def nested(classes: list[dict]) -> list[dict]:
+    """The classes that nest as a whole, outermost first.
+
+    A class lies in the slot of its outermost tokens; where these have several, it
+    is parted by slot. It is valid once its slot is the root or one of a valid class.
+    """
+    waiting = []
+    for c in classes:
+        own = {t["token"] for t in c["tokens"]}
+        parts: dict[str, list[dict]] = {}
+        for t in c["tokens"]:
+            slot = _slot(t["token"])
+            while slot in own:
+                slot = _slot(slot)
+            parts.setdefault(slot, []).append(t)
+        waiting += [(slot, c | {"tokens": tokens}) for slot, tokens in parts.items()]
+    valid: list[dict] = []
+    paths, more = {""}, True
+    while more:
+        fits = [c for slot, c in waiting if slot in paths]
+        waiting = [x for x in waiting if x[0] not in paths]
+        valid += fits
+        paths |= {t["token"] for c in fits for t in c["tokens"] if " " not in t["token"]}
+        more = bool(fits)
+    return valid
+
+
+def template_of(classes: list[dict] | None) -> dict | None:
+    """path, the article's slot, and texts, what the template itself says; None if no slot holds most data."""
+    valid = nested(classes or [])
+    texts = {t["token"]: t["chars"] for c in valid for t in c["tokens"] if " " in t["token"]}
+    data = {t["token"]: t["chars"] for c in valid for t in c["tokens"] if " " not in t["token"]}
+    for token, chars in texts.items():
+        for p in _chain(_slot(token)):
+            data[p] -= chars
+    total = sum(n for p, n in data.items() if p.count(">") == 1)
+    slots = [t["token"] for c in valid if c["once"] for t in c["tokens"] if " " not in t["token"] and t["fit"]]
+    slots = [p for p in slots if total > 0 and data[p] >= MAIN_SHARE * total and re.split(r"[>.]", p.rpartition(">")[2])[0] in _CONTAINERS]
+    if not slots:
+        return None
+    return {"path": max(slots, key=lambda p: (p.count(">"), p)), "texts": set(texts)}
 
 
 #: Elements that can hold an article as a whole; single blocks such as p can't.
 _CONTAINERS = frozenset("html body article main section div td center blockquote".split())
 
 
-def main_text(html: str | None, template: list[dict] | None, known: dict | None = None) -> str:
-    found = blocks(html or "")
-    fit = [(path, text) for path, ok, text in found if ok]
-    own = [(p, t) for p, t in fit if re.search(r">(article|main)\b", p)]
+def main_text(html: str | None, template: dict | None) -> str:
+    fit = [(path, text) for path, ok, text in read(html or "")[0] if ok]
     if template:
-        path = article_path(template) if known is None else known["path"]
-        texts = {t["token"] for t in template if t["token"].startswith("=")} if known is None else known["texts"]
-        slot = [(p, t) for p, t in fit if path and (p == path or p.startswith(path + ">"))]
-        # what repeats across the host is template, unless the page itself calls it its article
-        slot = [(p, t) for p, t in slot if "=" + t not in texts or re.search(r">(article|main)\b", p)]
+        path = template["path"]
+        slot = [t for p, t in fit if (p == path or p.startswith(path + ">")) and text_token(p, t) not in template["texts"]]
         if slot:
-            return "\n".join(t for _, t in (own or slot))
+            return "\n".join(slot)
+    own = [(p, t) for p, t in fit if re.search(r">(article|main)\b", p)]
     return "\n".join(t for _, t in (own or fit))
 
 
@@ -246,22 +286,17 @@ def extract(pages: DataFrame, carry: list[str], url_col: str = "url", html_col:
         joined = read.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, dict | None] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = []
                 for i, (host, html) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    template = part.column(3)[i]
-                    if template.is_valid and host not in known:
+                    if host not in known:
                         if len(known) > 1000:
                             known.clear()
-                        own = template.as_py()
-                        known[host] = {
-                            "path": article_path(own),
-                            "texts": {t["token"] for t in own if t["token"].startswith("=")},
-                        }
-                    texts.append(main_text(html, [{"token": ""}], known[host]) if template.is_valid else main_text(html, None))
+                        known[host] = template_of(part.column(3)[i].as_py())
+                    texts.append(main_text(html, known[host]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     inner = joined.select("row", "host", "html", "template")
