@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemill.functions import text as tx
 from tidemill.operators.search import under
@@ -37,8 +36,8 @@ def profile_score(keywords=(), regions=(), currency=None, least=None, most=None,
 
 
 def by_code(goods: DataFrame, codes: DataFrame, lengths=(2, 5, 8)) -> DataFrame:
-    """Goods under each product's codes (product_id, code): a prefix join as an
-    equi-join on the prefixes of the lengths that codes have."""
+    """Goods under each row's code: a prefix join as an equi-join on the prefixes of
+    the lengths that codes have. Products of one code are best summed up before."""
     own = goods.select("*", F.explode(F.array_distinct(F.array(*[F.substring("good_code", 1, n) for n in lengths]))).alias("code"))
     return own.join(codes, "code")
 
@@ -55,11 +54,23 @@ def by_name(goods: DataFrame, terms: DataFrame) -> DataFrame:
     return goods.join(hits, "name")
 
 
-def attributed(claims: DataFrame, keys: list[str], least: float = 0.05) -> DataFrame:
-    """For each position its product: the only claimant, or the likest by trigrams
-    if any is likely enough."""
-    w = Window.partitionBy(*keys)
-    rated = claims.withColumn("likeness", tx.jaccard(tx.trigrams(F.col("name")), tx.trigrams(F.col("product_name")))).withColumn("claimants", F.count("*").over(w))
-    best = rated.withColumn("_n", F.row_number().over(w.orderBy(F.desc("likeness"), "product_id"))).filter("_n = 1").drop("_n")
-    sure = F.when(F.col("claimants") == 1, "certain").when(F.col("likeness") >= least, "likeliest").otherwise("unattributed")
-    return best.withColumn("attribution", sure)
+def attributed(goods: DataFrame, products: DataFrame, keys: list[str], least: float = 0.05) -> DataFrame:
+    """For each claimed position (keys, good_code, name) its product: the only claimant,
+    or the likest by trigrams if any is likely enough.
+
+    Products come as product_id, code and product_name. Each distinct name of a good
+    meets each distinct product name of its codes once, however many positions and
+    products have them.
+    """
+    names = products.groupBy("code", "product_name").agg(F.count("*").alias("products"), F.min("product_id").alias("first"))
+    names = names.withColumn("_product", tx.trigrams(F.col("product_name")))
+    own = goods.select("good_code", "name").distinct().withColumn("_good", tx.trigrams(F.col("name")))
+    rated = by_code(own, names).withColumn("likeness", tx.jaccard(F.col("_good"), F.col("_product")))
+    best = rated.groupBy("good_code", F.col("name").alias("_name")).agg(
+        F.max(F.struct("likeness", (-F.col("first")).alias("minus"), "product_name")).alias("best"), F.sum("products").alias("claimants")
+    )
+    sure = F.when(F.col("claimants") == 1, "certain").when(F.col("best.likeness") >= least, "likeliest").otherwise("unattributed")
+    found = best.select("good_code", "_name", (-F.col("best.minus")).alias("product_id"), "best.product_name", "best.likeness", "claimants", sure.alias("attribution"))
+    positions = goods.select(*keys, "good_code", "name").distinct().withColumnRenamed("good_code", "_code")
+    joined = positions.join(found, (F.col("_code") == F.col("good_code")) & F.col("name").eqNullSafe(F.col("_name")))
+    return joined.select("product_id", *keys, "good_code", "name", "product_name", "likeness", "claimants", "attribution")

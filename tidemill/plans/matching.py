@@ -36,8 +36,9 @@ codes AS (SELECT p_partkey AS product_id, lpad(p_size::VARCHAR, 2, '0') || '.' |
 
 
 def _codes(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0")
-    return p.select(F.col("p_partkey").alias("product_id"), F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."), F.upper(F.substring("p_type", 1, 2))).alias("code"))
+    """The whole catalogue; CODES_SQL has every twentieth product only."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."), F.upper(F.substring("p_type", 1, 2))).alias("code"))
 
 
 @query(f"""{CODES_SQL}
@@ -47,9 +48,9 @@ FROM goods g JOIN codes c ON starts_with(g.good_code, c.code) GROUP BY 1""")
 def code_match(spark, sf_dir):
     """Goods under product codes, rolled up for each tender; a good that
     several products match counts for each."""
-    codes = _codes(spark, sf_dir).withColumnRenamed("product_id", "by_product")
+    codes = _codes(spark, sf_dir).groupBy("code").agg(F.count("*").alias("products"))
     return op.by_code(goods(spark, sf_dir), codes).groupBy("tender_id").agg(
-        F.countDistinct("code").alias("n_codes"), F.count("*").alias("n_matches"), F.sum("totalcost").cast("double").alias("cost"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("matched")
+        F.countDistinct("code").alias("n_codes"), F.sum("products").alias("n_matches"), F.sum(F.col("totalcost") * F.col("products")).cast("double").alias("cost"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("matched")
     )
 
 
@@ -58,19 +59,15 @@ c AS (SELECT DISTINCT g.tender_id, g.lot_id, g.good_code, c.product_id FROM good
 SELECT tender_id, lot_id, good_code, count(*) AS claimants, min(product_id) AS first_claimant FROM c GROUP BY ALL""")
 def position_claims(spark, sf_dir):
     """Who claims each position; one claimant is certain."""
-    codes = _codes(spark, sf_dir).withColumnRenamed("product_id", "by_product")
-    claims = op.by_code(goods(spark, sf_dir), codes).select("tender_id", "lot_id", "good_code", "by_product").distinct()
-    return claims.groupBy("tender_id", "lot_id", "good_code").agg(F.count("*").alias("claimants"), F.min("by_product").alias("first_claimant"))
+    codes = _codes(spark, sf_dir).groupBy("code").agg(F.count("*").alias("products"), F.min("product_id").alias("first"))
+    places = goods(spark, sf_dir).select("tender_id", "lot_id", "good_code").distinct()
+    return op.by_code(places, codes).groupBy("tender_id", "lot_id", "good_code").agg(F.sum("products").alias("claimants"), F.min("first").alias("first_claimant"))
 
 
 @query()
 def position_match(spark, sf_dir):
     """Contested positions go to the likest product name by trigrams."""
-    codes = _codes(spark, sf_dir).withColumnRenamed("product_id", "claimed_by")
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("claimed_by"), F.col("p_name").alias("product_name"))
-    claims = op.by_code(goods(spark, sf_dir), codes).select("tender_id", "lot_id", "good_code", "name", "claimed_by").distinct().join(names, "claimed_by")
-    claims = claims.withColumnRenamed("claimed_by", "product_id")
-    return op.attributed(claims, ["tender_id", "lot_id", "good_code", "name"])
+    return op.attributed(goods(spark, sf_dir), _codes(spark, sf_dir), ["tender_id", "lot_id"])
 
 
 TERMS = ("ring", "bolt", "widget", "gear", "missing")
