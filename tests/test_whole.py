@@ -2,7 +2,6 @@
 
 import pytest
 from oracle import differences
-
 from tidemill.operators import matching as op
 from tidemill.plans import ORACLE_SQL, QUERIES
 
@@ -62,3 +61,8 @@ def test_attribution(spark):
         # a good is of a product: nothing is liker than its own name
         assert (r.product_id, r.likeness) == (min(p.p_partkey for p in claims if grams(p.p_name) == grams(good.p_name)), 1.0)
         assert r.attribution == ("certain" if len(claims) == 1 else "likeliest")
+
+
+def test_suggestions_of_all_codes(spark):
+    sql = without("code_suggestion", ("CASE WHEN rb <= 50 THEN 1.0 / (60 + rb) ELSE 0 END", "1.0 / (60 + rb)"), ("FROM a WHERE ra <= 50", "FROM a ORDER BY score DESC, code LIMIT 50"))
+    assert differences(spark, SF, QUERIES["code_suggestion"], sql) == []
