@@ -1,7 +1,13 @@
 """Queries over all rows of their tables: SQL without its cuts, and brute force."""
 
+import random
+import re
+
 import pytest
 from oracle import differences
+from pyspark.sql import functions as F
+
+from tidemill.functions import terms
 from tidemill.operators import matching as op
 from tidemill.plans import ORACLE_SQL, QUERIES
 
@@ -66,3 +72,29 @@ def test_attribution(spark):
 def test_suggestions_of_all_codes(spark):
     sql = without("code_suggestion", ("CASE WHEN rb <= 50 THEN 1.0 / (60 + rb) ELSE 0 END", "1.0 / (60 + rb)"), ("FROM a WHERE ra <= 50", "FROM a ORDER BY score DESC, code LIMIT 50"))
     assert differences(spark, SF, QUERIES["code_suggestion"], sql) == []
+
+
+def cover_rank(tokens, prefixes):
+    where = [[i for i, t in enumerate(tokens) if t.startswith(p)] for p in prefixes]
+    holds = lambda a, b: all(any(a <= i <= b for i in w) for w in where)
+    ends = sorted({i for w in where for i in w})
+    stretches = [(a, b) for a in ends for b in ends if a <= b and holds(a, b) and not holds(a + 1, b) and not holds(a, b - 1)]
+    return sum(1 / (b - a + 1) for a, b in stretches)
+
+
+@pytest.mark.parametrize("prefixes", [["the"], ["the", "and"], ["a", "b", "ab"]])
+def test_cover_rank_by_brute_force(spark, prefixes):
+    rng = random.Random(7)
+    texts = [["and", "x", "the"], ["the", "and", "the"], ["the", "the"], [], ["there", "and", "", "the"]]
+    texts += [[rng.choice("the and x a b ab abc then".split()) for _ in range(rng.randrange(40))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, tokens array<string>")
+    got = {r.i: r.y for r in df.select("i", terms.cover_rank(F.col("tokens"), prefixes).alias("y")).collect()}
+    assert got.pop(-1) == 0.0
+    assert {i: round(x, 9) for i, x in got.items()} == {i: round(cover_rank(t, prefixes), 9) for i, t in enumerate(texts)}
+
+
+def test_lexical_rank(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars < 3000").limit(60).collect()
+    got = {r.doc_id: r["rank"] for r in QUERIES["lexical_rank"](spark, "/root/testdata/sf0.001").collect()}
+    for d in docs:
+        assert got[d.doc_id] == pytest.approx(cover_rank(re.split(r"[\W_]+", d.text.lower()), ["the", "and"]), abs=2e-6)

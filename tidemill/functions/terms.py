@@ -55,28 +55,29 @@ def word_trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, cut)))
 
 
-def positions(tokens: Column, prefix: str) -> Column:
-    """Where in an array of tokens one starts with a prefix."""
-    marked = F.transform(tokens, lambda t, i: F.when(F.startswith(t, F.lit(prefix)), i + 1))
-    return F.filter(marked, lambda x: x.isNotNull())
-
-
 def cover_rank(tokens: Column, terms: list[str]) -> Column:
     """Cover density: for each shortest stretch that holds all terms, one over its length.
 
-    Texts that lack a term have none. Only the order of ranks has a meaning.
+    A token holds a term that it starts with. Texts that lack a term have none.
+    Only the order of ranks has a meaning.
     """
-    where = [positions(tokens, t) for t in terms]
-    all_there = F.lit(True)
-    for w in where:
-        all_there = all_there & (F.size(w) > 0)
-
-    def width(p: Column) -> Column:
-        reach = [F.array_min(F.transform(F.filter(w, lambda x: x >= p), lambda x: x)) for w in where]
-        return 1.0 / (F.greatest(*reach) - p + 1) if len(reach) > 1 else 1.0 / (reach[0] - p + 1)
-
-    total = F.aggregate(F.transform(where[0], width), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    return F.when(all_there, total).otherwise(0.0)
+    marked = F.transform(tokens, lambda t, i: F.struct((i + 1).alias("at"), F.array(*[F.coalesce(F.startswith(t, F.lit(p)), F.lit(False)) for p in terms]).alias("has")))
+    hits = F.filter(marked, lambda x: F.exists(x["has"], lambda h: h))
+    # last place of each term so far, start of the last stretch counted, sum
+    zero = F.struct(F.array(*[F.lit(0)] * len(terms)).alias("last"), F.lit(0).alias("start"), F.lit(0.0).alias("total"))
+
+    def moved(state: Column, hit: Column) -> Column:
+        last = F.zip_with(state["last"], hit["has"], lambda at, h: F.when(h, hit["at"]).otherwise(at))
+        return F.struct(last.alias("last"), state["start"].alias("start"), state["total"].alias("total"), hit["at"].alias("end"))
+
+    def counted(state: Column) -> Column:
+        # a stretch that ends here is a shortest one if it begins after all before it
+        start = F.array_min(state["last"])
+        more = F.when(start > state["start"], 1.0 / (state["end"] - start + 1)).otherwise(0.0)
+        return F.struct(state["last"].alias("last"), F.greatest(start, state["start"]).alias("start"), (state["total"] + more).alias("total"))
+
+    done = F.aggregate(hits, zero, lambda state, hit: F.element_at(F.transform(F.array(moved(state, hit)), counted), 1))
+    return F.coalesce(done["total"], F.lit(0.0))
 
 
 def excerpts(text: str | None, words: list[str], around: int = 60, budget: int = 400) -> list[tuple[int, int]]:
