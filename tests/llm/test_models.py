@@ -110,6 +110,22 @@ def test_base_scores(spark):
     assert lattice_lm.op6(brute.frame(spark).limit(0)).count() == 0
 
 
+def test_toxicity_fits_all_patterns(spark, monkeypatch):
+    """Sums made by tasks give the model that the driver gets from all patterns at once."""
+    rows, labels = [], []
+    marks = ["zorgle", "idiot", "blivet", "moron", "scum", "quaxle"]
+    for i in range(600):
+        said = [w for j, w in enumerate(marks) if i % 4 == 0 and (i // 4 + 1) >> j & 1]
+        rows.append((i, " ".join(["plain", "words", "of", "text", chr(97 + i % 26) * 3, *said]), "en", "s", 1))
+        labels.append((i, int(bool(said))))
+    docs, given = brute.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxicity.fit(docs, given)
+    monkeypatch.setattr(toxicity, "FIT_PATTERNS", 3)
+    summed = toxicity.fit(docs, given)
+    assert summed.voters == whole.voters and any(whole.weights)
+    assert summed.weights == pytest.approx(whole.weights, abs=1e-6) and summed.bias == pytest.approx(whole.bias, abs=1e-6)
+
+
 def test_toxicity(spark):
     marks = ["idiot", "grawlexa", "grawlexo", "grawlexin"]
     rows, labels = [], []

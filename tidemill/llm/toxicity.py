@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +37,7 @@ MINED = 44
 PRECISION = 0.9
 #: The share of toxic texts on which every voter abstains.
 MISSED = 0.05
-#: Distinct vote patterns, the most frequent ones, on which the classifier is fitted.
+#: Distinct vote patterns that the driver fits by itself; sums over more are made by tasks.
 FIT_PATTERNS = 20_000
 THRESHOLD = 0.7
 
@@ -198,23 +198,54 @@ def _gain(sums: np.ndarray, m: int, mined: int) -> np.ndarray:
     return np.clip(np.log((right + 0.1) / rows[1]) - np.log((wrong + 0.1) / rows[0]), -2, 12)
 
 
-def _fit_linear(bits: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by Newton steps with a small ridge."""
-    x = np.hstack([bits, np.ones((len(bits), 1))])
-    theta = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 0.05)
+def _target(bits: np.ndarray, gain: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
+    """Posterior labels: the strongest vote counts in full, those that depend on others by their share."""
+    strongest = np.where(bits > 0, gain, 0).argmax(axis=1)
+    full = (gain - gain * share)[strongest] * bits[np.arange(len(bits)), strongest]
+    return 1 / (1 + np.exp(-np.clip(_log_odds(bits, gain * share, prior) + full, -40, 40)))
+
+
+def _slope(bits: np.ndarray, n: np.ndarray, target: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Of patterns weighted by the root of their number: weight, weighted gradient and Hessian, the
+    floor of the Hessian apart as it isn't weighted."""
+    x, weight = np.hstack([bits, np.ones((len(bits), 1))]), np.sqrt(n)
+    p = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
+    hessian = (x * (weight * p * (1 - p))[:, None]).T @ x
+    return np.concatenate([[weight.sum()], x.T @ (weight * (p - target)), hessian.ravel(), (x.T @ x).ravel()])
+
+
+def _fit_linear(slope: Callable[[np.ndarray], np.ndarray], m: int) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Newton steps with a small ridge; slope sums over all patterns."""
+    theta, k = np.zeros(m + 1), m + 1
+    ridge = np.full(k, 0.05)
     ridge[-1] = 1e-6
-    weight = weight / max(1.0, weight.sum()) * 20_000
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
-        gradient = x.T @ (weight * (p - target)) + ridge * theta
-        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), gradient)
+        total, gradient, hessian, floor = np.split(slope(theta), [1, 1 + k, 1 + k + k * k])
+        scale = 20_000 / max(1.0, total[0])
+        hessian = scale * hessian.reshape(k, k) + 1e-9 * floor.reshape(k, k) + np.diag(ridge)
+        step = np.linalg.solve(hessian, scale * gradient + ridge * theta)
         theta -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
     return theta[:-1], float(theta[-1])
 
 
+def _slopes(patterns: DataFrame, gain: np.ndarray, share: np.ndarray, prior: float, theta: np.ndarray) -> np.ndarray:
+    """_slope of all patterns: every task sums what it has, the driver adds up vectors of fixed length."""
+    m = len(gain)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total = np.zeros(1 + (m + 1) + 2 * (m + 1) ** 2)
+        for batch in batches:
+            mask, n = (np.array(c) for c in (batch.column(0), batch.column(1)))
+            bits = ((mask[:, None] >> np.arange(m)) & 1).astype(float)
+            total += _slope(bits, n, _target(bits, gain, share, prior), theta)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+    got = map_arrow(patterns, run, "sums binary").collect()
+    return sum((np.frombuffer(r["sums"]) for r in got), np.zeros(1 + (m + 1) + 2 * (m + 1) ** 2))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -237,15 +268,16 @@ def fit(
     for _ in range(rounds):
         gain = _gain(_summed(patterns, gain, prior, False), m, len(voters))
     share = 1 / (1 + _dependence(_summed(patterns, gain, prior, True), m))
-    top = patterns.orderBy(F.desc("n"), "mask").limit(FIT_PATTERNS).collect()
-    if not top:
+    some = patterns.limit(FIT_PATTERNS + 1).collect()
+    if not some:
         return Model(voters, [0.0] * m, -10.0)
-    bits = np.array([[r["mask"] >> j & 1 for j in range(m)] for r in top], dtype=float)
-    # the strongest vote counts in full, those that depend on others by their share
-    strongest = np.where(bits > 0, gain, 0).argmax(axis=1)
-    full = (gain - gain * share)[strongest] * bits[np.arange(len(bits)), strongest]
-    target = 1 / (1 + np.exp(-np.clip(_log_odds(bits, gain * share, prior) + full, -40, 40)))
-    weights, bias = _fit_linear(bits, target, np.sqrt([r["n"] for r in top]))
+    if len(some) <= FIT_PATTERNS:
+        some.sort(key=lambda r: (-r["n"], r["mask"]))
+        bits = np.array([[r["mask"] >> j & 1 for j in range(m)] for r in some], dtype=float)
+        n, target = np.array([r["n"] for r in some], dtype=float), _target(bits, gain, share, prior)
+        weights, bias = _fit_linear(lambda theta: _slope(bits, n, target, theta), m)
+    else:
+        weights, bias = _fit_linear(lambda theta: _slopes(patterns, gain, share, prior, theta), m)
     return Model(voters, weights.tolist(), bias)
 
 
