@@ -1,4 +1,7 @@
+import math
+import random
 from collections import Counter, defaultdict
+from math import comb
 
 import brute
 import duckdb
@@ -22,12 +25,43 @@ def test_quality_counts(spark):
     assert got == Counter((d[0], *brute.quality_counts(d[1])) for d in brute.documents())
 
 
-def test_binomial_bound_is_exact():
-    from math import comb
+def tail(k, n, p):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
 
-    for n, k, p in ((10, 3, 0.2), (50, 0, 0.05), (200, 7, 0.05)):
-        exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-        assert quality.binomial_tail(k, n, p) == pytest.approx(exact, rel=1e-9)
+
+def test_binomial_bound_is_exact(spark):
+    for n, k, p in ((10, 2, 0.2), (50, 0, 0.05), (200, 7, 0.05), (200, 0, 0.05), (30_000, 1_400, 0.05), (1, 0, 0.05)):
+        got = spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), p).alias("x")).first().x
+        exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if n <= 200 else tail(k, n, p)
+        assert got == pytest.approx(exact, rel=1e-7)
+
+
+NAMES = "stratum string, good long, " + ", ".join(f"{r} double" for r in quality.RULES)
+
+
+def chosen(spark, rows):
+    got = quality.cutoffs(spark.createDataFrame(rows, NAMES)).collect()
+    return {(r.stratum, rule): r[rule] for r in got for rule in quality.RULES if r[rule] is not None}
+
+
+def plain_cutoffs(rows, alpha=quality.ALPHA, delta=quality.DELTA):
+    names = ["stratum", "good", *quality.RULES]
+    by = defaultdict(list)
+    for r in rows:
+        by[r[0]].append(dict(zip(names, r)))
+    tests = max(1, len(by)) * sum(map(len, quality.RULES.values()))
+    out = {}
+    for s, own in by.items():
+        good, bad = [r for r in own if r["good"]], [r for r in own if not r["good"]]
+        for rule, cuts in quality.RULES.items():
+            best, most = None, 0.0
+            for cut in cuts if good and bad else ():
+                g, b = sum(r[rule] > cut for r in good), sum(r[rule] > cut for r in bad)
+                if g <= alpha * len(good) and tail(g, len(good), alpha) <= delta / tests and b / len(bad) - g / len(good) > most:
+                    best, most = cut, b / len(bad) - g / len(good)
+            if best is not None:
+                out[s, rule] = best
+    return out
 
 
 def test_cutoffs_limit_false_rejection(spark):
@@ -35,10 +69,51 @@ def test_cutoffs_limit_false_rejection(spark):
     bad = [("de", 0, 0.5) for _ in range(100)]
     few = [("fr", 1, 0.0), ("fr", 0, 0.5)]
     rows = [(s, g, x, 0.0, 0.0, 0.0, 0.0) for s, g, x in good + bad + few]
-    names = "stratum string, good long, " + ", ".join(f"{r} double" for r in quality.RULES)
-    chosen = quality.cutoffs(spark.createDataFrame(rows, names))
-    assert set(chosen) == {("de", "symbol_share")}
-    assert quality.cutoffs(spark.createDataFrame([], names)) == {}
+    assert set(chosen(spark, rows)) == {("de", "symbol_share")}
+    assert chosen(spark, rows) == plain_cutoffs(rows)
+    assert chosen(spark, []) == {}
+
+
+def test_cutoffs_of_many_strata(spark):
+    """More strata than a driver's list would be kept for; each gets its own cutoffs."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(700):
+        for i in range(450 if k % 100 == 0 else 3):
+            good = int(i % 3 > 0)
+            rows.append((f"s{k}", good, *[max(0.0, rng.gauss(0.02 if good else 0.5, 0.1 if k % 200 else 0.02)) for _ in quality.RULES]))
+    got = chosen(spark, rows)
+    assert got == plain_cutoffs(rows)
+    assert {s for s, _ in got} >= {"s0", "s200", "s400", "s600"}
+
+
+def test_kept_is_what_the_plain_rules_keep(spark):
+    """kept against a plain version: repeated texts are one trial, labels that disagree count as bad."""
+    rng = random.Random(2)
+    rows, given = [], []
+    for i in range(900):
+        good = i % 3 > 0
+        text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) + ("!" if not good and rng.random() < 0.5 else "") for _ in range(40))
+        rows.append((i, text, "en" if i % 2 else None, "s", 1))
+        given.append((i, int(good)))
+    rows += [(2000 + i, rows[1][1] + "!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!", "en", "s", 1) for i in range(200)]
+    given += [(2000 + i, 1) for i in range(200)] + [(0, 1), (1, 0)]
+    docs, labels = brute.frame(spark, rows), spark.createDataFrame(given, "doc_id long, quality int")
+    measured = {r.row.doc_id: r for r in quality.measures(docs, ["doc_id"]).collect()}
+    trials = {}
+    least = {}
+    for d, g in given:
+        least[d] = min(g, least.get(d, 1))
+    for d, text, lang, *_ in rows:
+        key = (lang, text)
+        trials[key] = (min(least[d], trials.get(key, (1,))[0]), d)
+    cuts = plain_cutoffs([("" if lang is None else f"={lang}", g, *[measured[d][r] for r in quality.RULES]) for (lang, _), (g, d) in trials.items()])
+    want = {}
+    for d, _, lang, *_ in rows:
+        s = "" if lang is None else f"={lang}"
+        want[d] = not measured[d].base_failed and not any(measured[d][r] > cuts.get((s, r), 9e9) for r in quality.RULES)
+    assert cuts and set(want.values()) == {True, False}
+    assert {r.doc_id: r.kept for r in quality.op7(docs.withColumn("good", F.lit(1)).withColumn("stratum", F.lit(2)), labels.withColumn("text", F.lit(3))).collect()} == want
 
 
 def test_quality_rejects_nothing_without_labels(spark):

@@ -5,16 +5,23 @@ each stratum (language) and rule on labelled documents: an exact binomial bound
 on good documents rejected must lie under ``alpha``, at a confidence shared out
 over all strata, rules and cutoffs tested (Bonferroni), so all bounds hold
 together. Of the admissible cutoffs the one that parts good from bad best is
-taken. A stratum with too few labels has no admissible cutoff and rejects
-nothing beyond the fixed rules.
+taken, of equal ones the lowest. A stratum with too few labels has no admissible
+cutoff and rejects nothing beyond the fixed rules. Every stratum that has labels
+is tested, however many there are; counts, bounds and choice stay in Spark.
+
+The bound takes trials to be independent, so a text counts once in its stratum
+however many labelled documents have it; where labels of one document or one
+text disagree, the bad one holds.
 
 Null and empty texts have no words and fail the fixed rule on length. Null
-strata form a stratum of their own; repeated rows are rows of their own.
+strata form a stratum of their own; repeated rows are rows of their own. An
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +31,8 @@ from tidemill.llm.common import stored
 ALPHA = 0.05
 DELTA = 0.05
 WINDOW = 8
-#: Strata with most labels that get cutoffs of their own, at most; the bound
-#: keeps what the driver reads small, others keep to the fixed rules.
-MAX_STRATA = 500
+#: Strata whose cutoffs (about 100 bytes each) are broadcast; more are joined by stratum.
+BROADCAST_STRATA = 100_000
 
 #: A rule's measure and its cutoffs; a text beyond the cutoff is rejected.
 RULES = {
@@ -71,14 +77,15 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
-    """Struct ``row`` with the carried columns, the counts, and the measures of RULES."""
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    """Struct ``row`` with the carried columns, a hash of the text, the counts, and the measures of RULES."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    words = docs.select(row, text).withColumn("words", F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), 0))
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    words = docs.select(row, text, F.xxhash64(text).alias("text_key")).withColumn("words", F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), 0))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)
     without = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     counted = words.select(
         "row",
+        "text_key",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", _BLANKS, "")).cast("long").alias("word_chars"),
         without("#*$%&|<>").cast("long").alias("n_symbols"),
@@ -92,6 +99,7 @@ def measures(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataF
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return counted.select(
         "row",
+        "text_key",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -107,49 +115,61 @@ def measures(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataF
     )
 
 
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """The chance of at most k of n at rate p."""
-    logs = [
-        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-        for i in range(k + 1)
-    ]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+def _log_gamma(x: Column) -> Column:
+    """Of x >= 1: Stirling's series eight steps up, and down again."""
+    up = reduce(lambda a, b: a * b, (x + k for k in range(8)))
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(up)
 
 
-def admissible(k: int, n: int, alpha: float, level: float) -> bool:
-    """Whether the exact upper bound, at confidence 1 - level, on a rate seen k of n times is under alpha."""
-    return k <= alpha * n and binomial_tail(k, n, alpha) <= level
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """The chance of at most k of n at rate p, for k up to p * n.
 
+    Terms fall from the k-th down; ten standard deviations below it they are under
+    1e-16 of the sum, whatever n is, so no more are added up.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    top = _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    reach = F.least(k, F.ceil(10 * F.sqrt(n * p * (1 - p))) + 10).cast("int")
+    state = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """(stratum, rule) to cutoff, from rows with stratum, good (1 or 0) and the measures.
+    def add(s: Column, i: Column) -> Column:
+        at = k - i + 1  # from the at-th term to the one below it
+        term = s["term"] * at * (1 - p) / ((n - at + 1) * p)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
 
-    Rejections are counted in Spark; the driver reads a row for each stratum.
-    """
+    steps = F.when(reach > 0, F.sequence(F.lit(1), reach)).otherwise(F.array().cast("array<int>"))
+    return F.least(F.lit(1.0), F.exp(top) * F.aggregate(steps, state, add, lambda s: s["total"]))
+
+
+def admissible(k: Column, n: Column, alpha: float, level: Column) -> Column:
+    """Whether the exact upper bound, at confidence 1 - level, on a rate seen k of n times is under alpha."""
+    return F.when(k <= alpha * n, binomial_tail(k, n, alpha) <= level).otherwise(F.lit(False))
+
+
+def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum and, for each rule, its cutoff or null, from rows with stratum, good (1 or 0) and the measures."""
+    sizes = [F.sum("good").alias("n1"), F.sum(1 - F.col("good")).alias("n0")]
     passed = [
         F.sum(F.when((F.col("good") == g) & (F.col(rule) > cut), 1).otherwise(0)).alias(f"{rule} {i} {g}")
         for rule, cuts in RULES.items()
         for i, cut in enumerate(cuts)
         for g in (0, 1)
     ]
-    sizes = [F.sum("good").alias("n1"), F.sum(1 - F.col("good")).alias("n0")]
-    # one row for each stratum of labelled documents
-    rows = labelled.groupBy("stratum").agg(*sizes, *passed).orderBy(F.desc("n1"), "stratum").limit(MAX_STRATA).collect()
-    tests = max(1, len(rows)) * sum(map(len, RULES.values()))
-    chosen = {}
-    for row in rows:
-        for rule, cuts in RULES.items():
-            best, gain = None, 0.0
-            for i, cut in enumerate(cuts):
-                good, bad = row[f"{rule} {i} 1"], row[f"{rule} {i} 0"]
-                if row["n1"] and row["n0"] and admissible(good, row["n1"], alpha, delta / tests):
-                    value = bad / row["n0"] - good / row["n1"]
-                    if value > gain:
-                        best, gain = cut, value
-            if best is not None:
-                chosen[row["stratum"], rule] = best
-    return chosen
+    counted = stored(labelled.groupBy("stratum").agg(*sizes, *passed), "strata")
+    # all bounds that are tested hold together
+    level = F.lit(delta / (max(1, counted.count()) * sum(map(len, RULES.values()))))
+    tested = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(-i).alias("order"), F.lit(float(cut)).alias("cut"), F.col(f"{rule} {i} 1").alias("good"), F.col(f"{rule} {i} 0").alias("bad"))
+        for rule, cuts in RULES.items()
+        for i, cut in enumerate(cuts)
+    ]
+    rows = counted.filter("n1 > 0 AND n0 > 0").select("stratum", "n1", "n0", F.explode(F.array(*tested)).alias("t"))
+    rows = rows.withColumn("gain", F.col("t.bad") / F.col("n0") - F.col("t.good") / F.col("n1"))
+    rows = rows.filter("gain > 0").filter(admissible(F.col("t.good"), F.col("n1"), alpha, level))
+    best = [F.max(F.when(F.col("t.rule") == rule, F.struct("gain", "t.order", "t.cut")))["cut"].alias(rule) for rule in RULES]
+    return rows.groupBy("stratum").agg(*best)
 
 
 def judge(
@@ -166,15 +186,16 @@ def judge(
     stratum = F.coalesce(F.concat(F.lit("="), F.col(f"row.`{stratum_col}`").cast("string")), F.lit("")).alias("stratum")
     rows = measures(docs, [id_col, stratum_col], text_col)
     rows = stored(rows.select(F.col(f"row.`{id_col}`").alias("id"), stratum, *rows.columns[1:]), "measures")
-    given = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("good"))
-    chosen = cutoffs(rows.join(given.dropDuplicates(["id"]), "id"), alpha, delta)
-    hits = [
-        F.when((F.col("stratum") == s) & (F.col(rule) > cut), F.lit(rule)) for (s, rule), cut in sorted(chosen.items())
-    ]
-    rejecting = F.filter(F.array(*hits, F.lit(None).cast("string")), lambda x: x.isNotNull())
-    return rows.withColumn("rejected_by", rejecting).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)
-    )
+    given = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(label_col).cast("long").alias("good"))
+    # a text is one trial of its stratum
+    trials = rows.join(given, "id").groupBy("stratum", "text_key").agg(F.min("good").alias("good"), *[F.first(r).alias(r) for r in RULES])
+    chosen = stored(cutoffs(trials, alpha, delta), "cutoffs")
+    limits = chosen.select("stratum", F.struct(*RULES).alias("cut"))
+    judged = rows.join(F.broadcast(limits) if chosen.count() <= BROADCAST_STRATA else limits, "stratum", "left")
+    hits = [F.when(F.col(rule) > F.col(f"cut.{rule}"), F.lit(rule)) for rule in RULES]
+    rejecting = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    judged = judged.withColumn("rejected_by", rejecting).drop("cut", "text_key")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
