@@ -25,7 +25,8 @@ def sf_dir(spark, tmp_path_factory):
         if i % 8 == 0:
             lines[1] += " grawlexa idiot"
         if i % 9 == 1:
-            lines.insert(2, passage.upper())
+            # inside a line of its own words: as a line by itself on a ninth of a host's pages it is boilerplate
+            lines.insert(2, f"{word()} {passage.upper()} {word()}")
         lines.insert(0, "Subscribe to our newsletter today")
         rows.append([i, "\n".join(lines), "en", f"src{i % 2}", 0])
         labels.append((i, 1, int(i % 8 == 0)))
