@@ -169,9 +169,25 @@ def test_decontamination(spark):
     docs, bench = brute.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.op3(docs, bench).collect()
     assert Counter(tuple(r) for r in got) == want
-    whole = decontaminate.scan(docs, bench, ["doc_id"]).collect()
-    parts = decontaminate.scan(docs, bench, ["doc_id"], block_bytes=500).collect()
-    assert sorted(map(str, whole)) == sorted(map(str, parts))
+    some = bench.filter("item_id IN (1, 2, 3, 4, 900, 903)").coalesce(1)
+    whole = decontaminate.scan(docs, some, ["doc_id"]).collect()
+    for limits in ({"block_bytes": 500}, {"block_words": 180}):
+        parts = decontaminate.scan(docs, some, ["doc_id"], **limits).collect()
+        assert sorted(map(str, whole)) == sorted(map(str, parts))
     span = next(r.out.spans for r in whole if r.row.doc_id == 400_000)
     assert [(s.a, s.b) for s in span] == [(2, 14)]
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+    clash = docs.withColumn("out", F.lit(1)).withColumn("row", F.lit(2)).withColumn("item_id", F.lit(3)).withColumn("outs", F.lit(4))
+    assert decontaminate.clean(clash, bench).columns == clash.columns
+    assert Counter(tuple(r) for r in decontaminate.op3(clash, bench.withColumn("doc_id", F.lit(1))).collect()) == want
+    assert decontaminate.op3(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_of_a_long_item_and_text(spark):
+    """An item of more words than a block holds, and a text of very many words."""
+    item = " ".join(f"w{i:x}" for i in range(140_000))
+    text = "x " + " ".join(f"w{i:x}" for i in range(99_990, 100_010)) + " y " + " ".join(f"v{i:x}" for i in range(300_000))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = brute.frame(spark, [(1, text, "en", "s", 1), (2, "clean", "en", "s", 1)]).coalesce(1)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.op3(docs, bench).collect()}
+    assert got == {1: (300_022, 20, 1), 2: (1, 0, 0)}

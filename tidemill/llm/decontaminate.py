@@ -7,24 +7,33 @@ code points of what was read.
 
 Nulls and empty texts have no words and no hits; repeated rows are scanned as
 rows of their own; an empty benchmark hits nothing; a null item text has no
-window; a null item id counts as the text "null".
+window; a null item id counts as the text "null". An empty table gives no rows;
+further columns, whatever their names, go along where they are carried.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import map_text, utf8
+from tidemill.llm.common import map_text, stored, utf8
 
 WINDOW = 10
-#: Benchmark text that one automaton may hold; a larger benchmark is scanned in
-#: blocks of this size, one after the other, so what is broadcast stays bounded.
+#: Benchmark text that one automaton may hold; a larger benchmark is scanned in blocks
+#: of this size, each in a stage of its own whose result is stored, so a task holds one
+#: automaton at a time.
 BLOCK_BYTES = 8 << 20
+#: Words that a block may hold: an automaton over so many takes about 200 MB.
+BLOCK_WORDS = 100_000
+#: A word is coded as two characters, so that no node of the automaton has too many
+#: branches to be searched; the two have alphabets of their own, so only whole words match.
+_BRANCHES, _SECOND = 512, 0x800
+_UNKNOWN = "\0\0"
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: UTF-8 bytes to the bytes of words: A-Z lowered, what parts words made blank.
@@ -48,42 +57,66 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(_FOLD).split()
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """The benchmark's (item id, words) in blocks of bounded size, read row by row."""
-    block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.col(text_col))
+def _parts(words: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """Stretches of an item's words that together have just its windows."""
+    at = 0
+    while True:
+        yield words[at : at + most + window - 1]
+        at += most
+        if at + window > len(words):
+            return
+
+
+def blocks_of(
+    benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int = WINDOW, block_words: int = BLOCK_WORDS
+) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The benchmark's (item id, words) in blocks of bounded size, read row by row; a long
+    item is parted, its parts sharing words so that no window is lost."""
+    block, size, n = [], 0, 0
+    rows = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")), F.col(f"`{text_col}`"))
     for item, text in rows.toLocalIterator():
         words = words_of(text)
-        if words:
-            block.append((item, words))
-            size += sum(map(len, words))
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
+        for part in _parts(words, window, max(1, min(block_words, 400_000) // 4)) if words else ():
+            block.append((item, part))
+            size, n = size + sum(map(len, part)), n + len(part)
+            if size >= block_bytes or n >= min(block_words, 400_000):
+                yield block
+                block, size, n = [], 0, 0
     if block:
         yield block
 
 
+def _coded(n: int) -> str:
+    second = _SECOND + n // _BRANCHES
+    # surrogates are no characters of their own, so codes leave them out
+    return chr(1 + n % _BRANCHES) + chr(second if second < 0xD800 else second + 0x800)
+
+
 def _scanner(items: list[tuple[str, list[bytes]]], window: int):
     """A function from a text's words to (start, end, items of the window) for each hit."""
     import ahocorasick
 
-    number: dict[bytes, str] = {}
+    code: dict[bytes, str] = {}
     windows: dict[str, tuple[int, set[str]]] = {}
     for item, words in items:
-        # surrogates are no characters of their own, so numbers leave them out
-        coded = "".join(number.setdefault(w, chr(n if (n := len(number) + 1) < 0xD800 else n + 0x800)) for w in words)
-        for at in range(max(1, len(coded) - window + 1)):
-            part = coded[at : at + window]
-            windows.setdefault(part, (len(part), set()))[1].add(item)
+        coded = "".join(code.setdefault(w, _coded(len(code))) for w in words)
+        for at in range(max(1, len(words) - window + 1)):
+            part = coded[2 * at : 2 * (at + window)]
+            windows.setdefault(part, (len(part) // 2, set()))[1].add(item)
     automaton = ahocorasick.Automaton()
     for part, value in windows.items():
         automaton.add_word(part, value)
     automaton.make_automaton()
+    shortest = 2 * min(n for n, _ in windows.values())
 
     def scan(words: list[bytes]):
-        coded = "".join(map(number.get, words, repeat("\0")))
-        return [(end + 1 - n, end + 1, found) for end, (n, found) in automaton.iter(coded)]
+        at, found = 0, []
+        # a window has words of the benchmark only: other words part the text, and what is too short has none
+        for run in "".join(map(code.get, words, repeat(_UNKNOWN))).split(_UNKNOWN):
+            if len(run) >= shortest:
+                found += [((at + end + 1) // 2 - n, (at + end + 1) // 2, of) for end, (n, of) in automaton.iter(run)]
+            at += len(run) + 2
+        return found
 
     return scan
 
@@ -111,6 +144,7 @@ def scan(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Struct ``row`` with the carried columns, and struct ``out`` of what was hit:
 
@@ -118,15 +152,20 @@ def scan(
     spans: the same in code points of the original text; item_ids: sorted.
     """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in blocks_of(benchmark, item_col, item_text_col, block_bytes)] or [sc.broadcast([])]
-    if len(blocks) == 1:
-        return map_text(docs, _maker(blocks[0], window), _OUT, carry, text_col)
+    blocks = blocks_of(benchmark, item_col, item_text_col, block_bytes, window, block_words)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        return map_text(docs, _maker(sc.broadcast(block), window), _OUT, carry, text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("outs", F.array().cast(T.ArrayType(_OUT)))
-    for block in blocks:
-        rows = map_text(rows, _maker(block, window), _OUT, ["row", "text", "outs"]).select(
+    while block:
+        sent = sc.broadcast(block)
+        rows = map_text(rows, _maker(sent, window), _OUT, ["row", "text", "outs"]).select(
             "row.row", "row.text", F.concat("row.outs", F.array("out")).alias("outs")
         )
+        rows = stored(rows, "scanned")
+        sent.unpersist()
+        block, after = after, next(blocks, None)
     return rows.select(
         "row",
         F.struct(
