@@ -7,7 +7,8 @@ go from every page of that host.
 Lines are parted by \\n and compared without the blanks around them; blank ones
 always stay. Null texts stay null and have no line, but their page counts; null
 hosts form a host of their own; repeated rows are pages of their own. A page
-whose lines all go keeps an empty text.
+whose lines all go keeps an empty text. An empty table gives no rows; further
+columns, whatever their names, go along inside ``row``.
 """
 
 from __future__ import annotations
@@ -69,11 +70,14 @@ def dedup(
         rows = rows.join(F.broadcast(drops), "host", "left")
     else:
         salted = drops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(f"row.{text_col}"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(F.col(f"row.`{text_col}`")), F.lit(SALTS)).cast("int")
         rows = rows.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
-    lines = _lines(F.col(f"row.{text_col}"))
-    left = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("drop", _key(x)))
-    rows = rows.select("row", lines.alias("lines"), F.when(F.col("drop").isNull(), lines).otherwise(left).alias("left"))
+    lines = _lines(F.col(f"row.`{text_col}`"))
+    # the page's own boilerplate first, so that a line isn't sought in all of the host's
+    own = F.when(F.col("drop").isNotNull(), F.array_intersect(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), _key), "drop"))
+    rows = rows.select("row", lines.alias("lines"), own.alias("own"))
+    left = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("own", _key(x)))
+    rows = rows.select("row", "lines", F.when(F.size("own") > 0, left).otherwise(F.col("lines")).alias("left"))
     return rows.select(
         "row",
         F.array_join("left", "\n").alias("kept"),
