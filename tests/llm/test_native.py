@@ -136,12 +136,29 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert first.join(second, "blob").count() == 0
     assert second.count() == docs.select("text").na.fill("").distinct().count() - first.count()
     assert secrets.update(docs, first.union(second)).count() == 0
-    assert secrets.update(docs, first, version="2").count() == first.count() + second.count()
+    more = [*secrets.RULES, ("pin", r"pin: [0-9]{4}", 0, 4)]
+    again = secrets.update(docs, first.union(second), rules=more)  # other rules, another version: all blobs anew
+    assert again.count() == first.count() + second.count() and secrets.version_of(more) != secrets.version_of()
+    assert secrets.update(docs, first.union(second).union(again), rules=more).count() == 0
     whole = {(r.row.doc_id, str(r.spans)) for r in secrets.findings(docs, secrets.update(docs, None), ["doc_id"]).collect()}
     parts = {(r.row.doc_id, str(r.spans)) for r in secrets.findings(docs, first.union(second), ["doc_id"]).collect()}
     assert whole == parts
 
 
+def test_ledger_of_versions(spark):
+    """Every version of a document is a path; a text that two of them share is one blob."""
+    key, rows = "ghp_" + "z1" * 20, []
+    for doc in range(6):
+        rows += [(doc, 1, f"text {doc} token={key}"), (doc, 2, f"text {doc} without"), (doc, 3, f"text {doc} token={key}" if doc % 2 else None)]
+    paths = spark.createDataFrame(rows, "doc_id long, version int, text string")
+    older = secrets.update(paths.filter("version = 1"), None)
+    newer = secrets.update(paths, older)
+    assert (older.count(), newer.count()) == (6, 7)  # six texts without, and the empty one
+    found = secrets.findings(paths.withColumn("blob", F.lit(1)), older.union(newer), ["doc_id", "version", "blob"])
+    got = {(r.row.doc_id, r.row.version): [s.kind for s in r.spans] for r in found.collect()}
+    assert got == {(d, v): ["assign", "github"] if t and key in t else [] for d, v, t in rows}
+
+
 def plain_dedup(rows, ratio, least):
     pages, total = defaultdict(set), Counter()
     for i, (_, text, _, host, _) in enumerate(rows):

@@ -5,11 +5,13 @@ version of the rules, what was found; only pairs that it lacks are scanned, each
 blob once however many paths hold it, and findings are joined back to all paths.
 
 Null texts are the empty blob, in which nothing is found. Repeated rows are
-paths of their own.
+paths of their own, and each version of a document is one: its row carries what tells
+it. An empty table gives no rows; further columns go along inside ``row``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +33,6 @@ RULES = [
     ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@", 0, 9),
 ]
 BASE = ("assign", "access", "hex")
-#: Name of these rules in the ledger; to be raised when a rule changes.
-VERSION = "1"
 
 _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
@@ -57,6 +57,11 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     return F.when(text.rlike(pattern), F.aggregate(parts, start, add, lambda done: done["found"])).otherwise(none)
 
 
+def version_of(rules=RULES) -> str:
+    """The name of rules in the ledger: whatever changes in them changes it."""
+    return hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]
+
+
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     """blob and its spans, for each row with blob and text."""
     found = [_spans(F.col("text"), i, *rule) for i, rule in enumerate(rules)]
@@ -71,8 +76,9 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def update(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", rules=RULES, version: str = VERSION) -> DataFrame:
-    """New rows of the ledger: every unseen pair of blob and version, scanned once."""
+def update(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", rules=RULES) -> DataFrame:
+    """New rows of the ledger: every unseen pair of blob and version of the rules, scanned once."""
+    version = version_of(rules)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     blobs = docs.select(blob_of(text).alias("blob"), text.alias("text"))
     if ledger is not None:
@@ -81,8 +87,9 @@ def update(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", ru
     return stored(found.select("blob", F.lit(version).alias("version"), "spans"), "ledger")
 
 
-def findings(docs: DataFrame, ledger: DataFrame, carry: list[str], text_col: str = "text", version: str = VERSION) -> DataFrame:
+def findings(docs: DataFrame, ledger: DataFrame, carry: list[str], text_col: str = "text", rules=RULES) -> DataFrame:
     """Struct ``row`` with the carried columns, and the spans that the ledger has for its blob."""
+    version = version_of(rules)
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     paths = docs.select(row, blob_of(F.col(f"`{text_col}`")).alias("blob"))
     # blobs without findings need no join: they get the empty list
