@@ -2,15 +2,22 @@
 
 Lexicon and pattern voters say of a text whether their word, their word stem or
 their pattern is in it. Stems and words beside the seed lexicon are mined from a
-bounded sample of labelled rows. A generative label model, two classes of
-independent voters fitted by expectation-maximisation over the votes of all
-documents, estimates how often each voter is right and how voters depend on one
-another; dependent voters share their weight. Its posterior labels train a
-linear classifier over the votes, which gives the score.
+bounded sample of labelled rows. A generative label model, two classes of voters
+fitted by expectation-maximisation over the votes of all documents, estimates in
+each round how often each voter is right and how voters depend on one another;
+dependent voters share their weight. What labelled rows say of a voter, mined or
+seed, has a fixed part in its accuracy. The posterior labels train a linear
+classifier over the votes, which gives the score.
+
+The bounds on what is fitted are parameters: SAMPLE_ROWS labelled rows of each
+class, of their terms the MINED_TERMS most frequent ones, MINED voters of those.
+All that is counted or scored covers all documents.
 
 Null and empty texts get no vote and the score that goes with none. Repeated
 rows vote as often as they occur. Without labelled rows the seed lexicon votes
-alone; labels that are null or whose document is missing are not used.
+alone; labels that are null or whose document is missing are not used, and where
+labels of one id disagree it counts as toxic. An empty table gives no rows; further
+columns go along where they are carried.
 """
 
 from __future__ import annotations
@@ -31,10 +38,14 @@ from tidemill.llm.common import map_arrow, map_text, remainder, stored
 
 #: Labelled rows of each class from which voters are mined, at most about.
 SAMPLE_ROWS = 8_000
+#: Terms of labelled toxic rows that are looked at, the most frequent ones.
+MINED_TERMS = 100_000
 #: Mined voters, at most; with the patterns they fit a 64-bit mask.
 MINED = 44
 #: A mined voter is right in at least this share of the labelled rows that it marks.
 PRECISION = 0.9
+#: The labels' part in a voter's accuracy; the rest is what the votes of all documents say.
+LABELLED = 0.5
 #: The share of toxic texts on which every voter abstains.
 MISSED = 0.05
 #: Distinct vote patterns that the driver fits by itself; sums over more are made by tasks.
@@ -104,14 +115,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def mine(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], float]:
-    """Words and stems that mark labelled texts, frequent in toxic ones and rare in
-    others, and the labelled share of toxic rows."""
+def mine(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[dict[str, float | None], float]:
+    """Words and stems that mark labelled texts, frequent in toxic ones and rare in others,
+    and the seed lexicon, each with the share of labelled rows in which it is right, if
+    there are any; and the labelled share of toxic rows."""
     given = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     given = given.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     n = {r["label"]: r["n"] for r in given.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
-        return list(SEED), 0.05
+        return dict.fromkeys(SEED), 0.05
     share = {k: min(1.0, SAMPLE_ROWS / max(1, n.get(k, 0))) for k in (0, 1)}
     # at most about 2 * SAMPLE_ROWS ids are broadcast, however many rows there are
     bar = F.when(F.col("label") == 1, share[1]).otherwise(share[0]) * 1_000_000
@@ -133,8 +145,7 @@ def mine(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
         return map_arrow(part, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     least = 5
-    # the most frequent terms of toxic rows; a fixed number whatever the sample
-    toxic = {r["term"]: r["n"] for r in counted(None, 1).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(100_000).collect()}
+    toxic = {r["term"]: r["n"] for r in counted(None, 1).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MINED_TERMS).collect()}
     all_toxic = toxic.pop("", 0)
     names = set(toxic)
     clean = {r["term"]: r["n"] for r in counted(names, 0).collect()} if n.get(0) else {}
@@ -156,7 +167,10 @@ def mine(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
             voters.append(term)
         if len(voters) == MINED:
             break
-    return voters + [w for w in SEED if w not in voters], min(0.9, n[1] / sum(n.values()))
+    voters += [w for w in SEED if w not in voters]
+    weight = lambda v: (toxic.get(v, 0) / share[1], clean.get(v, 0) / share[0])
+    right = {v: (k + 0.5) / (k + c + 1) if k + c else None for v in voters for k, c in [weight(v)]}
+    return right, min(0.9, n[1] / sum(n.values()))
 
 
 def _log_odds(bits: np.ndarray, gain: np.ndarray, prior: float) -> np.ndarray:
@@ -165,7 +179,14 @@ def _log_odds(bits: np.ndarray, gain: np.ndarray, prior: float) -> np.ndarray:
     return np.clip(np.where(bits.any(axis=1), z, prior + math.log(MISSED)), -40, 40)
 
 
-def _summed(patterns: DataFrame, gain: np.ndarray, prior: float, pairs: bool) -> np.ndarray:
+def _target(bits: np.ndarray, gain: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
+    """Posterior labels: the strongest vote counts in full, those that depend on others by their share."""
+    strongest = np.where(bits > 0, gain, 0).argmax(axis=1)
+    full = (gain - gain * share)[strongest] * bits[np.arange(len(bits)), strongest]
+    return 1 / (1 + np.exp(-np.clip(_log_odds(bits, gain * share, prior) + full, -40, 40)))
+
+
+def _summed(patterns: DataFrame, gain: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
     """Expected counts under the posterior: for each class, of rows, votes and pairs of votes.
 
     Every task sums what it has; the driver adds up vectors of fixed length.
@@ -173,36 +194,28 @@ def _summed(patterns: DataFrame, gain: np.ndarray, prior: float, pairs: bool) ->
     m = len(gain)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        total = np.zeros((2, 1 + m + m * m * pairs))
+        total = np.zeros((2, 1 + m + m * m))
         for batch in batches:
             mask, n = (np.array(c) for c in (batch.column(0), batch.column(1)))
             bits = (mask[:, None] >> np.arange(m)) & 1
-            toxic = 1 / (1 + np.exp(-_log_odds(bits, gain, prior)))
-            for k, share in enumerate((n * (1 - toxic), n * toxic)):
-                total[k, 0] += share.sum()
-                total[k, 1 : 1 + m] += share @ bits
-                if pairs:
-                    total[k, 1 + m :] += ((bits * share[:, None]).T @ bits).ravel()
+            toxic = _target(bits, gain, share, prior)
+            for k, part in enumerate((n * (1 - toxic), n * toxic)):
+                total[k, 0] += part.sum()
+                total[k, 1 : 1 + m] += part @ bits
+                total[k, 1 + m :] += ((bits * part[:, None]).T @ bits).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
     got = map_arrow(patterns, run, "sums binary").collect()
-    return sum((np.frombuffer(r["sums"]).reshape(2, -1) for r in got), np.zeros((2, 1 + m + m * m * pairs)))
+    return sum((np.frombuffer(r["sums"]).reshape(2, -1) for r in got), np.zeros((2, 1 + m + m * m)))
 
 
-def _gain(sums: np.ndarray, m: int, mined: int) -> np.ndarray:
-    """Log odds that each vote adds. A mined voter stays as precise as the labels found it."""
+def _gain(sums: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+    """Log odds that each vote adds. labelled: how often labels say it is right, or nan."""
+    m = len(labelled)
     rows, votes = sums[:, 0] + 1, sums[:, 1 : 1 + m]
-    right = votes[1].copy()
-    right[:mined] = np.maximum(right[:mined], PRECISION * votes.sum(axis=0)[:mined])
-    wrong = votes.sum(axis=0) - right
-    return np.clip(np.log((right + 0.1) / rows[1]) - np.log((wrong + 0.1) / rows[0]), -2, 12)
-
-
-def _target(bits: np.ndarray, gain: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
-    """Posterior labels: the strongest vote counts in full, those that depend on others by their share."""
-    strongest = np.where(bits > 0, gain, 0).argmax(axis=1)
-    full = (gain - gain * share)[strongest] * bits[np.arange(len(bits)), strongest]
-    return 1 / (1 + np.exp(-np.clip(_log_odds(bits, gain * share, prior) + full, -40, 40)))
+    every = votes.sum(axis=0)
+    right = np.where(np.isnan(labelled), votes[1], LABELLED * np.nan_to_num(labelled) * every + (1 - LABELLED) * votes[1])
+    return np.clip(np.log((right + 0.1) / rows[1]) - np.log((every - right + 0.1) / rows[0]), -2, 12)
 
 
 def _slope(bits: np.ndarray, n: np.ndarray, target: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -255,19 +268,21 @@ def fit(
     rounds: int = 6,
 ) -> Model:
     """Voters from the labelled rows, their weights from the votes of all documents."""
-    voters, toxic_share = mine(docs, labels, id_col, text_col, label_col)
-    m = len(voters) + _PATTERNS
+    mined, toxic_share = mine(docs, labels, id_col, text_col, label_col)
+    voters, m = [*mined], len(mined) + _PATTERNS
+    labelled = np.array([np.nan if x is None else x for x in mined.values()] + [np.nan] * _PATTERNS)
     votes = map_text(
         docs, lambda: (lambda texts, vote=_voted(voters): [[vote(t) for t in texts]]),
         T.StructType([T.StructField("mask", T.LongType())]), [], text_col,
     )
     patterns = stored(votes.groupBy(F.col("out.mask").alias("mask")).agg(F.count("*").alias("n")), "votes")
-    # start: the mined voters are as right as the labels say, the patterns say nothing
+    # start: voters are as right as the labels say, or as mined ones have to be; the patterns say nothing
     prior = math.log(toxic_share / (1 - toxic_share))
-    gain = np.array([math.log(PRECISION / (1 - PRECISION)) - prior] * len(voters) + [0.0] * _PATTERNS)
+    start = np.clip(np.nan_to_num(labelled[: len(voters)], nan=PRECISION), 0.01, PRECISION)
+    gain, share = np.append(np.log(start / (1 - start)) - prior, [0.0] * _PATTERNS), np.ones(m)
     for _ in range(rounds):
-        gain = _gain(_summed(patterns, gain, prior, False), m, len(voters))
-    share = 1 / (1 + _dependence(_summed(patterns, gain, prior, True), m))
+        sums = _summed(patterns, gain, share, prior)
+        gain, share = _gain(sums, labelled), 1 / (1 + _dependence(sums, m))
     some = patterns.limit(FIT_PATTERNS + 1).collect()
     if not some:
         return Model(voters, [0.0] * m, -10.0)
