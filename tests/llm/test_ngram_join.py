@@ -4,6 +4,7 @@ from itertools import combinations
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import ngram_join
 
@@ -42,7 +43,7 @@ def copies(n, seed, words=60, changes=3):
     return out
 
 
-@pytest.mark.parametrize("tile, points", [(2_000_000, 20_000), (400, 9)])
+@pytest.mark.parametrize("tile, points", [(2_000_000, 20_000), (400, 9), (150, 20)])
 def test_components(spark, tile, points, monkeypatch):
     monkeypatch.setattr(ngram_join, "TOKEN_POINTS", points)
     monkeypatch.setattr(ngram_join, "FEW_NODES", points // 2)
@@ -76,6 +77,10 @@ def test_no_rows(spark):
 def test_one_of_each_component_stays(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1)]
     rows += [(3, None, "en", "s", 1), (4, "", "en", "s", 1), (1, "other words of the same id", "en", "s", 1)]
+    clash = brute.frame(spark, rows)
+    for c in ("row", "id", "text_hash", "node", "block", "token", "hash", "of"):
+        clash = clash.withColumn(c, F.lit(1))
+    assert ngram_join.clean(clash).columns == clash.columns and ngram_join.clean(clash).count() == 4
     left = ngram_join.clean(brute.frame(spark, rows))
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted({(r[0], r[1]) for r in rows} - {(2, "A b c d e f")}, key=str)

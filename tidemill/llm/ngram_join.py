@@ -12,12 +12,15 @@
 4. Within a block an R-tree finds the pairs that the sets themselves verify.
    Pairs that links already join need no check of their own.
 
-Equal sets are one node however many documents have them. A block too large for
+Equal sets are one node however many documents have them. The documents of a very
+frequent shingle are a block without a tree of their own. A block too large for
 one task is cut in tiles; tiles are joined alone, then by a few sets of each part
 found, then in pairs as far as parts are still apart. Nothing is capped.
 
 Null and wordless texts have no shingles and are alone. Repeated rows and equal
-ids are kept as rows; null ids are linked but give no component its name.
+ids are kept as rows; null ids are linked but give no component its name. An empty
+table gives no rows; further columns are not read, and stay where one of each
+component does; very long texts are sets like others.
 """
 
 from __future__ import annotations
@@ -45,8 +48,9 @@ LEAF = 16
 TILE_SHINGLES = 2_000_000
 #: A token of so many nodes at most is known by the list of them.
 FEW_NODES = 32
-#: Points of a token that are joined at once: 1 KB each.
-TOKEN_POINTS = 20_000
+#: Nodes of a token whose points are joined at once (1 KB each); a token of more is a
+#: block as a whole, and the R-trees of the block's tiles bound its pairs.
+TOKEN_POINTS = 1_000
 #: Candidates (16 bytes each) that are broadcast to fetch their texts, at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -259,27 +263,23 @@ def join_points(points: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
 def candidates(shared: DataFrame, points: DataFrame) -> DataFrame:
     """Edges (a, b) that join whatever could be linked, from rows (token, node, n).
 
-    Nodes alone with a token, or without a neighbour near enough in size, leave
-    first; the points of the others go to their tokens, and an R-tree over the
-    points of each token tells which could overlap enough.
+    Tokens that one node has leave first, and pairs too far apart in size. The points
+    of the others go to their tokens, and an R-tree over the points of each token tells
+    which could overlap enough. The nodes of a token of very many are joined to one of
+    them: what is linked and shares a token stays in one block either way.
     """
-    order = Window.partitionBy("token").orderBy("n", "node")
-    lower = 100 * F.lag("n").over(order) >= PERCENT * F.col("n")
-    upper = 100 * F.col("n") >= PERCENT * F.lead("n").over(order)
-    rows = shared.withColumn("near", F.coalesce(lower, F.lit(False)) | F.coalesce(upper, F.lit(False)))
-    rows = rows.filter("near").select("token", "node", F.count("*").over(Window.partitionBy("token")).alias("count"))
-    rows = stored(rows, "shared")
+    counted = shared.groupBy("token").agg(F.count("*").alias("count"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("one"))
+    near = (F.col("count") > 2) | (100 * F.col("lo") >= PERCENT * F.col("hi"))
+    counted = counted.filter(F.col("count") > 1).filter(near).drop("lo", "hi")
+    rows = stored(shared.select("token", "node").join(counted, "token"), "shared")
     # tokens of copies have the same few nodes over and over: once is enough
     few = rows.filter(F.col("count") <= FEW_NODES).groupBy("token").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    few = few.select("nodes").distinct().select(F.xxhash64("nodes").alias("token"), F.explode("nodes").alias("node"), F.lit(0).alias("tile"))
-    # a token of very many nodes is read in pairs of tiles
-    many = rows.filter(F.col("count") > FEW_NODES).withColumn("tiles", F.ceil(F.col("count") / TOKEN_POINTS).cast("int"))
-    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    pair = lambda t: F.least(mine, t) * F.col("tiles") + F.greatest(mine, t)
-    many = many.select("token", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), pair)).alias("tile"))
-    rows = few.unionByName(many).join(points, "node").select("token", "tile", "node", "n", "point")
+    few = few.select("nodes").distinct().select(F.xxhash64("nodes").alias("token"), F.explode("nodes").alias("node"))
+    some = rows.filter((F.col("count") > FEW_NODES) & (F.col("count") <= TOKEN_POINTS)).select("token", "node")
+    many = rows.filter((F.col("count") > TOKEN_POINTS) & (F.col("node") != F.col("one"))).select(F.col("one").alias("a"), F.col("node").alias("b")).distinct()
+    rows = few.unionByName(some).join(points, "node").select("token", "node", "n", "point")
     # the rows of a token follow one another, so tokens are read as a stream
-    rows = rows.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "node")
+    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
@@ -296,10 +296,10 @@ def candidates(shared: DataFrame, points: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for t, tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (t, tile) != token:
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != token:
                     close()
-                    token = (t, tile)
+                    token = t
                 held.append(tuple(row))
             if found:
                 pairs, found = list(dict.fromkeys(found)), []
@@ -308,7 +308,7 @@ def candidates(shared: DataFrame, points: DataFrame) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
-    return map_arrow(rows, read, "a long, b long")
+    return map_arrow(rows, read, "a long, b long").unionByName(many)
 
 
 def _links(sets: DataFrame) -> DataFrame:
@@ -373,8 +373,9 @@ def _verified(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str,
         large = _apart(signed, large, links)
         if heads:  # a few sets of each part join most of what a large group of copies has
             first = F.row_number().over(Window.partitionBy("block", "tile", "part").orderBy("node"))
-            dealt = F.pmod(F.xxhash64("part", "node"), F.ceil(F.col("tiles") / 64)).cast("int")
-            pairs = large.withColumn("first", first).filter("first <= 8").withColumn("tile", dealt)
+            pairs = stored(large.withColumn("first", first).filter("first <= 8"), "heads")
+            room = pairs.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / tile_shingles)).cast("int").alias("rooms"))
+            pairs = pairs.join(room, "block").withColumn("tile", F.pmod(F.xxhash64("part", "node"), F.col("rooms")).cast("int"))
         else:  # whatever is still apart: all pairs of tiles
             others = F.sequence(F.lit(0), F.col("tiles") - 1)
             pair = lambda t: F.least("tile", t) * F.col("tiles") + F.greatest("tile", t)
