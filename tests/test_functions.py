@@ -153,3 +153,20 @@ def test_streams_equal_batches(spark, tmp_path):
     run.awaitTermination(120)
     last = max(int(p.name[1:]) for p in (tmp_path / "out").iterdir())
     assert spark.read.parquet(str(tmp_path / "out" / f"v{last}")).count() == batch.select("user_id").distinct().count()
+
+
+def test_written_numbers(spark):
+    texts = ["12 34", "1,2,3", "12 dona", "0,500", "1 234 567,80", "5 dona 3 quti", "1.234.567", "12,5", "-", "+7", None, "1.2,3,4"]
+    got = column(spark, texts, numbers.number_of)
+    assert [None if x.value is None else float(x.value) for x in got] == [None, None, 12, 500, 1234567.8, None, 1234567, 12.5, None, 7, None, None]
+    assert [x.error for x in got] == ["blanks", "form", None, None, None, "several", None, None, None, None, None, "form"]
+    assert column(spark, ["около 3 000,5 кг", "none", None], numbers.lenient_amount) == [Decimal("3000.5"), None, None]
+
+
+def test_prefix_join_of_any_length(spark):
+    from tidemill.operators import matching
+
+    goods = spark.createDataFrame([(1, "10.AB.01"), (2, "10"), (3, "1")], "id int, good_code string")
+    codes = spark.createDataFrame([("10.A",), ("1",), ("10.AB.01",), ("10",)], "code string")
+    got = sorted((r.id, r.code) for r in matching.by_code(goods, codes).collect())
+    assert got == [(1, "1"), (1, "10"), (1, "10.A"), (1, "10.AB.01"), (2, "1"), (2, "10"), (3, "1")]

@@ -4,28 +4,11 @@ import random
 import re
 
 import pytest
-from oracle import differences
 from pyspark.sql import functions as F
 
 from tidemill.functions import terms
 from tidemill.operators import matching as op
-from tidemill.plans import ORACLE_SQL, QUERIES
-
-SF = "/root/testdata/sf0.01"
-
-
-def without(name, *cuts):
-    """The registered SQL of a query with each (cut, instead) replaced."""
-    sql = ORACLE_SQL[name]
-    for cut, instead in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, instead)
-    return sql
-
-
-@pytest.mark.parametrize("name", ["code_match", "position_claims"])
-def test_whole_catalogue(spark, name):
-    assert differences(spark, SF, QUERIES[name], without(name, (" WHERE p_partkey % 20 = 0", ""))) == []
+from tidemill.plans import QUERIES
 
 
 def grams(s):
@@ -69,11 +52,6 @@ def test_attribution(spark):
         assert r.attribution == ("certain" if len(claims) == 1 else "likeliest")
 
 
-def test_suggestions_of_all_codes(spark):
-    sql = without("code_suggestion", ("CASE WHEN rb <= 50 THEN 1.0 / (60 + rb) ELSE 0 END", "1.0 / (60 + rb)"), ("FROM a WHERE ra <= 50", "FROM a ORDER BY score DESC, code LIMIT 50"))
-    assert differences(spark, SF, QUERIES["code_suggestion"], sql) == []
-
-
 def cover_rank(tokens, prefixes):
     where = [[i for i, t in enumerate(tokens) if t.startswith(p)] for p in prefixes]
     holds = lambda a, b: all(any(a <= i <= b for i in w) for w in where)

@@ -35,21 +35,53 @@ def first_integer(c: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(c, r"-?\d+", 0), F.lit("")), F.lit("S999999999999999999")).cast("long")
 
 
-def parse_number(c: Column) -> Column:
-    """A written number: blanks group thousands, the last of . and , is the decimal
-    sign where both stand or where it doesn't part three digits. Ranges, words and
-    empty texts are null."""
-    s = F.regexp_replace(F.trim(c), r"[\s   ']", "")
-    dots, commas = F.regexp_count(s, F.lit(r"\.")), F.regexp_count(s, F.lit(","))
-    point_last = F.instr(F.reverse(s), ".") < F.instr(F.reverse(s), ",")
+#: Cells that stand for nothing.
+BLANKS = ["", "-", "—", "–", "n/a", "na", "null", "none", "nan"]
+
+
+def number_of(c: Column) -> Column:
+    """A written number as a struct: value, and error where there is none (no_number, several, blanks, form).
+
+    Blanks group thousands only, three digits each; of . and , the later one is the
+    decimal sign; a comma alone is one unless it parts thousands; several dots part
+    thousands. Words may follow a number, other numbers may not. Empty cells are null
+    without an error.
+    """
+    s = F.trim(F.regexp_replace(c, "[\u00a0\u202f\u2009 ]", " "))
+    lead = F.regexp_extract(s, r"^([+-]?\d[\d .,]*)", 1)
+    tail = F.substr(s, F.length(lead) + 1)
+    token = F.regexp_replace(F.trim(lead), "^[+-]", "")
+    grouped = ~token.contains(" ") | token.rlike(r"^\d{1,3}( \d{3})+([.,]\d+)?$")
+    close = F.regexp_replace(token, " ", "")
+    dots, commas = F.regexp_count(close, F.lit(r"\.")), F.regexp_count(close, F.lit(","))
+    comma_last = F.instr(F.reverse(close), ",") < F.instr(F.reverse(close), ".")
+    without = lambda sign: F.replace(close, F.lit(sign), F.lit(""))
     plain = (
-        F.when((dots > 0) & (commas > 0) & point_last, F.regexp_replace(s, ",", ""))
-        .when((dots > 0) & (commas > 0), F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", "."))
-        .when((dots > 1) | s.rlike(r"^-?[1-9]\d{0,2}\.\d{3}$") & (dots > 1), F.regexp_replace(s, r"\.", ""))
-        .when((commas > 1) | s.rlike(r"^-?[1-9]\d{0,2},\d{3}$"), F.regexp_replace(s, ",", ""))
-        .otherwise(F.regexp_replace(s, ",", "."))
+        F.when((dots > 0) & (commas > 0), F.when(comma_last, F.replace(without("."), F.lit(","), F.lit("."))).otherwise(without(",")))
+        .when(commas > 0, F.when(close.rlike(r"^\d{1,3}(,\d{3})+$"), without(",")).otherwise(F.replace(close, F.lit(","), F.lit("."))))
+        .when(dots > 1, without("."))
+        .otherwise(close)
     )
-    return F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain.cast("decimal(38,10)"))
+    error = (
+        F.when(F.lower(s).isin(BLANKS) | s.isNull(), None)
+        .when(lead == "", "no_number")
+        .when(tail.rlike(r"\d"), "several")
+        .when(~grouped, "blanks")
+        .when(~plain.rlike(r"^\d+\.?\d*$"), "form")
+    )
+    value = F.when(error.isNull() & (lead != ""), F.concat(F.when(lead.startswith("-"), "-").otherwise(""), plain).cast("decimal(38,10)"))
+    return F.struct(value.alias("value"), error.alias("error"))
+
+
+def parse_number(c: Column) -> Column:
+    """The value of number_of, null where there is none."""
+    return number_of(c)["value"]
+
+
+def lenient_amount(c: Column) -> Column:
+    """The first number of a text, whatever is around it."""
+    s = F.regexp_replace(F.regexp_extract(c, r"\d+(?:[ \u00a0]\d{3})*(?:[.,]\d+)?", 0), "[ \u00a0]", "")
+    return F.when(s != "", F.replace(s, F.lit(","), F.lit(".")).cast("decimal(38,10)"))
 
 
 def parse_amount(c: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import chain, islice, product
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,11 +13,11 @@ from pyspark.sql import functions as F
 # Letters that fold together, and the readings of letters across alphabets.
 FOLD_FROM, FOLD_TO = "эёыйщьъ", "ееииш"
 READINGS = {
-    "sch": "ш", "sh": "ш", "ch": "ч", "zh": "ж", "kh": "х", "ya": "я", "yu": "ю", "yo": "е",
-    "o'": "у", "g'": "г", "o‘": "у", "g‘": "г", "oʻ": "у", "gʻ": "г",
-    "a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "e": "е", "j": "ж", "z": "з", "i": "и", "y": "и",
-    "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у",
-    "f": "ф", "x": "х", "h": "х", "q": "к", "w": "в", "ts": "ц|тс", "c": "ц|к",
+    "sch": ["ш"], "sh": ["ш"], "ch": ["ч"], "zh": ["ж"], "kh": ["х"], "ya": ["я"], "yu": ["ю"], "yo": ["е"], "ts": ["ц", "тс"],
+    "o'": ["у"], "g'": ["г"], "o‘": ["у"], "g‘": ["г"], "oʻ": ["у"], "gʻ": ["г"],
+    "a": ["а"], "b": ["б"], "v": ["в"], "g": ["г"], "d": ["д"], "e": ["е"], "j": ["ж"], "z": ["з"], "i": ["и"], "y": ["и"],
+    "k": ["к"], "l": ["л"], "m": ["м"], "n": ["н"], "o": ["о"], "p": ["п"], "r": ["р"], "s": ["с"], "t": ["т"], "u": ["у"],
+    "f": ["ф"], "x": ["х"], "h": ["х"], "q": ["к"], "w": ["в"], "c": ["ц", "к"],
 }
 LATIN = {
     "щ": "sh", "ш": "sh", "ч": "ch", "ж": "j", "ц": "ts", "я": "ya", "ю": "yu", "ё": "yo", "ў": "o", "ғ": "g",
@@ -35,26 +37,30 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), FOLD_FROM, FOLD_TO)
 
 
-def variants_of(term: str | None) -> list[str]:
-    """Folded spellings of a search term in both alphabets, likeliest first, six at most."""
-    term = (term or "").strip().lower()
-    if not term:
-        return []
+def _readings(word: str) -> list[str]:
+    """The Cyrillic readings of a Latin word: the first ways through the lattice of its letters."""
+    lattice = (READINGS.get(t, [t]) for t in _TOKENS.findall(word))
+    return ["".join(way).translate(_FOLDED) for way in islice(product(*lattice), MAX_READINGS)]
+
 
-    def cyrillic(word: str) -> list[str]:
-        found = [""]
-        for token in _TOKENS.findall(word):
-            found = [f + r for f in found for r in READINGS.get(token, token).split("|")][:MAX_READINGS]
-        return [f.translate(_FOLDED) for f in found]
+#: What spells a word with such letters otherwise, the likeliest first.
+_SPELLERS = [
+    (re.compile("[Ѐ-ӿ]"), lambda w: [w.translate(_LATIN)]),
+    (re.compile("[Ѐ-ӿ]"), lambda w: _readings(w.translate(_LATIN))),
+    (re.compile("[Ѐ-ӿ]"), lambda w: [w.translate(_LOOKALIKES)]),
+    (re.compile("[a-z'‘ʻ]"), _readings),
+    (re.compile("[a-z'‘ʻ]"), lambda w: [w]),
+]
+_LATIN, _LOOKALIKES = str.maketrans(LATIN), str.maketrans(LOOKALIKES)
 
-    spellings = [term.translate(_FOLDED)]
-    if re.search("[Ѐ-ӿ]", term):
-        latin = term.translate(str.maketrans(LATIN))
-        spellings += [latin, *cyrillic(latin), term.translate(str.maketrans(LOOKALIKES))]
-    if re.search("[a-z'‘ʻ]", term):
-        spellings += [*cyrillic(term), term]
-    kept = [s for i, s in enumerate(spellings) if s and (i == 0 or len(s) > 1)]
-    return list(dict.fromkeys(kept))[:MAX_VARIANTS]
+
+def variants_of(term: str | None) -> list[str]:
+    """Folded spellings of a search term in both alphabets, likeliest first, six at
+    most; the term itself, and others of two letters at least."""
+    term = (term or "").strip().lower()
+    own = [term.translate(_FOLDED)]
+    others = chain.from_iterable(spell(term) for letters, spell in _SPELLERS if letters.search(term))
+    return list(islice(dict.fromkeys(filter(None, chain(own, (x for x in others if len(x) > 1)))), MAX_VARIANTS))
 
 
 def variants(c: Column) -> Column:
@@ -124,32 +130,38 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def keywords(c: Column, most: int = 30) -> Column:
     """Distinct non-blank parts between ; | , and newlines, thirty at most."""
-    parts = F.transform(F.split(c, r"[;|\n,]+"), lambda x: F.trim(x))
+    parts = F.transform(F.split(c, r"[;|\n,]+"), lambda x: F.trim(x, F.lit(" .\t\r")))
     return F.slice(F.array_distinct(F.filter(parts, lambda x: x != "")), 1, most)
 
 
+#: Where a text may be cut, the strongest first: paragraphs, sentences, clauses, lines, words.
+BOUNDARIES = [re.compile(b) for b in (r"\n\s*\n", r"[.!?…]\s", r"[;:]\s", r"\n", r"\s")]
+
+
+def _cutter(text: str):
+    """A function from a stretch of the text to the last of its strongest boundaries, or its end."""
+    found = [([m.end() for m in b.finditer(text)], [m.start() for m in b.finditer(text)]) for b in BOUNDARIES]
+
+    def cut(low: int, high: int) -> int:
+        last = ((ends, starts, bisect_right(ends, high) - 1) for ends, starts in found)
+        return next((ends[k] for ends, starts, k in last if k >= 0 and starts[k] >= low), high)
+
+    return cut
+
+
 def chunks(text: str | None, size: int = 1000, overlap: int = 150, least: int = 80, back: int = 250) -> list[tuple[int, int]]:
-    """Spans of a text for retrieval, cut at the strongest boundary near the size."""
-    if not text or not text.strip():
-        return []
-    if len(text) <= size:
-        return [(0, len(text))]
-    spans, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            low = max(start + least, end - back)
-            for boundary in (r"\n\s*\n", r"[.!?…]\s", r"[;:]\s", r"\n", r"\s"):
-                cuts = [m.end() for m in re.finditer(boundary, text[low:end])]
-                if cuts:
-                    end = low + cuts[-1]
-                    break
-        if text[start:end].strip() and (end - start >= least or not spans):
-            spans.append((start, end))
-        if end == len(text):
-            break
-        start = end - overlap if end - overlap > start else end
-    return spans
+    """Spans of a text for retrieval, cut at the strongest boundary near the size; each
+    begins ``overlap`` before the last one's end, and short or blank ones are left out."""
+    n = len(text or "")
+    if n <= size:
+        return [(0, n)] if text and not text.isspace() else []
+    cut, ends, begins = _cutter(text), [], [0]
+    while not ends or ends[-1] < n:
+        high = begins[-1] + size
+        ends.append(n if high >= n else cut(max(begins[-1] + least, high - back), high))
+        begins.append(ends[-1] - overlap if ends[-1] - overlap > begins[-1] else ends[-1])
+    spans = [(a, b) for a, b in zip(begins, ends) if not text[a:b].isspace()]
+    return [x for k, x in enumerate(spans) if k == 0 or x[1] - x[0] >= least]
 
 
 def chunked(c: Column) -> Column:

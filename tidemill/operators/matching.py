@@ -35,10 +35,13 @@ def profile_score(keywords=(), regions=(), currency=None, least=None, most=None,
     return F.bround(score + F.when(F.col("currency").eqNullSafe(F.lit(currency)), CURRENCY).otherwise(0.0))
 
 
-def by_code(goods: DataFrame, codes: DataFrame, lengths=(2, 5, 8)) -> DataFrame:
+def by_code(goods: DataFrame, codes: DataFrame, lengths=None) -> DataFrame:
     """Goods under each row's code: a prefix join as an equi-join on the prefixes of
-    the lengths that codes have. Products of one code are best summed up before."""
-    own = goods.select("*", F.explode(F.array_distinct(F.array(*[F.substring("good_code", 1, n) for n in lengths]))).alias("code"))
+    the lengths that codes have, which are read from them (no more than the longest
+    code has characters) unless given. Products of one code are best summed up before."""
+    if lengths is None:
+        lengths = sorted(r["n"] for r in codes.select(F.length("code").alias("n")).distinct().collect() if r["n"]) or [1]
+    own = goods.select("*", F.explode(F.array_compact(F.array(*[F.when(F.length("good_code") >= n, F.substring("good_code", 1, n)) for n in lengths]))).alias("code"))
     return own.join(codes, "code")
 
 

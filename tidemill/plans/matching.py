@@ -32,11 +32,10 @@ def profile_score(spark, sf_dir):
 
 
 CODES_SQL = """
-codes AS (SELECT p_partkey AS product_id, lpad(p_size::VARCHAR, 2, '0') || '.' || upper(p_type[1:2]) AS code FROM part WHERE p_partkey % 20 = 0)"""
+codes AS (SELECT p_partkey AS product_id, lpad(p_size::VARCHAR, 2, '0') || '.' || upper(p_type[1:2]) AS code FROM part)"""
 
 
 def _codes(spark, sf_dir):
-    """The whole catalogue; CODES_SQL has every twentieth product only."""
     p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."), F.upper(F.substring("p_type", 1, 2))).alias("code"))
 
@@ -111,24 +110,27 @@ def knn_cosine(spark, sf_dir):
 
 @query(f"""{PAIRS} WHERE q.vec_id % 50 = 0),
 s AS (SELECT query, near, row_number() OVER (PARTITION BY query ORDER BY cos DESC, near) AS rank FROM p),
-l AS (SELECT q.vec_id AS query, v.vec_id AS near, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.vec_id - q.vec_id), v.vec_id) AS rank
-  FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 5)) AS w FROM documents),
+u AS (SELECT doc_id AS query, unnest(list_sort(w)[1:8]) AS word FROM w WHERE doc_id % 50 = 0),
+h AS (SELECT query, doc_id AS near, count(*) AS hits FROM (SELECT doc_id, unnest(w) AS word FROM w) JOIN u USING (word) WHERE doc_id <> query GROUP BY ALL),
+l AS (SELECT query, near, row_number() OVER (PARTITION BY query ORDER BY hits DESC, n_chars, near) AS rank FROM h JOIN documents ON doc_id = near),
 f AS (SELECT query, near, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS score
   FROM (SELECT * FROM s WHERE rank <= 50) a FULL OUTER JOIN (SELECT * FROM l WHERE rank <= 50) b USING (query, near)),
-t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, near) AS place FROM f)
-SELECT query, near, round(score, 9) AS score, place FROM t JOIN embeddings e ON e.vec_id = near WHERE place <= 10 AND e.label <> 3""", views=False)
+t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, near) AS place FROM f)
+SELECT query, near, round(score, 9) AS score, place FROM t JOIN documents e ON e.doc_id = near WHERE place <= 10 AND e.lang <> 'fr'""", views=False)
 def rrf_hybrid(spark, sf_dir):
-    """Two rankings fused, cut to k, filtered afterwards."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0")
-    semantic = retrieval.nearest(e, q, 50)
-    pairs = e.select(F.col("vec_id").alias("near"), "label").join(F.broadcast(q.select(F.col("vec_id").alias("query"), "label")), "label").filter("near <> query")
-    w = Window.partitionBy("query").orderBy(F.abs(F.col("near") - F.col("query")), "near")
-    lexical = pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 50")
+    """By meaning and by words, the 50 best of each fused, cut to
+    k, filtered afterwards. A question's words are the first eight of its text."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    semantic = retrieval.nearest(e, e.filter("vec_id % 50 = 0"), 50)
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 5))
+    texts = d.select("doc_id", "n_chars", words.alias("w"))
+    asked = texts.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_sort("w"), 1, 8)).alias("word"))
+    lexical = retrieval.by_words(texts.select(F.col("doc_id").alias("near"), "n_chars", "w"), asked, 50)
     fused = retrieval.fused(semantic, lexical, ["query", "near"])
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "near"))
     top = fused.withColumn("place", place).filter("place <= 10")
-    kept = top.join(e.select(F.col("vec_id").alias("near"), "label"), "near").filter("label <> 3")
+    kept = top.join(d.select(F.col("doc_id").alias("near"), "lang"), "near").filter("lang <> 'fr'")
     return kept.select("query", "near", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -145,11 +147,26 @@ def centroid_centered(spark, sf_dir):
     return c.select("vec_id", F.round(F.array_max("embedding"), 6).alias("largest"), F.round(norm(F.col("embedding")), 6).alias("length"))
 
 
-@query(f"""{PAIRS}),
+@query(f"""{PAIRS} WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cos DESC, near) AS rank FROM p)
 SELECT query AS vec_id, round(avg(cos), 5) AS bias, count(*) AS n FROM r WHERE rank <= 10 GROUP BY 1""", views=False)
 def hub_bias(spark, sf_dir):
-    """Mean likeness to the ten nearest; the code dictionary is its own query set."""
+    """Mean likeness of each vector of the query set to its ten nearest of all rows."""
     e = table(spark, sf_dir, "embeddings")
-    near = retrieval.nearest(e, e, 10).withColumn("cos", F.round("cos", 6))
+    near = retrieval.nearest(e, e.filter("vec_id % 50 = 0"), 10).withColumn("cos", F.round("cos", 6))
     return retrieval.hub_bias(near).select("vec_id", F.round("bias", 5).alias("bias"), "n")
+
+
+@query(f"""{PAIRS}),
+d AS (SELECT query, near, cos FROM p WHERE near % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cos DESC, near) AS rank FROM p WHERE query % 50 = 0),
+b AS (SELECT query AS near, round(avg(cos), 6) AS bias FROM r WHERE rank <= 10 GROUP BY 1),
+a AS (SELECT query, near, row_number() OVER (PARTITION BY query ORDER BY round(cos - coalesce(bias, 0), 6) DESC, near) AS rank, cos - coalesce(bias, 0) AS adjusted FROM d LEFT JOIN b USING (near))
+SELECT query AS vec_id, near AS code, round(adjusted, 6) AS adjusted FROM a WHERE rank = 1""", views=False)
+def csls_best_code(spark, sf_dir):
+    """For every row the code (a vector of the query set) that is likest once
+    its hub bias is taken off."""
+    e = table(spark, sf_dir, "embeddings")
+    codes = e.filter("vec_id % 50 = 0")
+    bias = retrieval.hub_bias(retrieval.nearest(e, codes, 10).withColumn("cos", F.round("cos", 6))).withColumn("bias", F.round("bias", 6))
+    return retrieval.best_corrected(e, codes, bias).select("vec_id", "code", F.round("adjusted", 6).alias("adjusted"))

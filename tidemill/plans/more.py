@@ -105,8 +105,8 @@ def saved_search_counts(spark, sf_dir):
 @query("""
 f AS (SELECT left(good_code, 5) AS code, count(*) AS n, count(DISTINCT name) AS names FROM goods GROUP BY 1),
 a AS (SELECT *, row_number() OVER (ORDER BY n DESC, code) AS ra, row_number() OVER (ORDER BY names DESC, code) AS rb FROM f)
-SELECT code, round(1.0 / (60 + ra) + CASE WHEN rb <= 50 THEN 1.0 / (60 + rb) ELSE 0 END + CASE WHEN left(code, 1) = '1' THEN 1.0 / 61 ELSE 0 END + least(n, 50) * 1e-5, 9) AS score
-FROM a WHERE ra <= 50""")
+SELECT code, round(1.0 / (60 + ra) + 1.0 / (60 + rb) + CASE WHEN left(code, 1) = '1' THEN 1.0 / 61 ELSE 0 END + least(n, 50) * 1e-5, 9) AS score
+FROM a ORDER BY score DESC, code LIMIT 50""")
 def code_suggestion(spark, sf_dir):
     """Two rankings of the whole code dictionary fused, with a prior for its
     family; only the list of the best 50 is cut."""
