@@ -69,7 +69,7 @@ def number_of(c: Column) -> Column:
         .when(~grouped, "blanks")
         .when(~plain.rlike(r"^\d+\.?\d*$"), "form")
     )
-    value = F.when(error.isNull() & (lead != ""), F.concat(F.when(lead.startswith("-"), "-").otherwise(""), plain).cast("decimal(38,10)"))
+    value = F.when(error.isNull() & (lead != ""), F.concat(F.when(lead.startswith("-"), "-").otherwise(""), plain).try_cast("decimal(38,10)"))
     return F.struct(value.alias("value"), error.alias("error"))
 
 
@@ -81,7 +81,7 @@ def parse_number(c: Column) -> Column:
 def lenient_amount(c: Column) -> Column:
     """The first number of a text, whatever is around it."""
     s = F.regexp_replace(F.regexp_extract(c, r"\d+(?:[ \u00a0]\d{3})*(?:[.,]\d+)?", 0), "[ \u00a0]", "")
-    return F.when(s != "", F.replace(s, F.lit(","), F.lit(".")).cast("decimal(38,10)"))
+    return F.when(s != "", F.replace(s, F.lit(","), F.lit(".")).try_cast("decimal(38,10)"))
 
 
 def parse_amount(c: Column) -> Column:
@@ -91,7 +91,7 @@ def parse_amount(c: Column) -> Column:
     tail = F.substr(s, F.length(F.regexp_extract(s, r"^(\d[\d ]*(?:[.,]\d+)?)", 1)) + 1)
     grouped = ~token.contains(" ") | token.rlike(r"^\d{1,3}( \d{3})+([.,]\d+)?$")
     number = F.regexp_replace(F.regexp_replace(token, " ", ""), ",", ".")
-    return F.when((token != "") & ~tail.rlike(r"(?<![\w.])\d") & grouped, number.cast("decimal(38,10)"))
+    return F.when((token != "") & ~tail.rlike(r"(?<![\w.])\d") & grouped, number.try_cast("decimal(38,10)"))
 
 
 def unit(c: Column) -> Column:
