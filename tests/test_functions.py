@@ -87,12 +87,6 @@ def test_waterfall_golden_values(spark):
     assert got[1].errors == ["markup_percent_negative", "vat_range"] and got[1].total_cost is None
 
 
-def test_requirements(spark):
-    texts = ["Warranty of not less than 12 months. Delivery within 30 days.", "Аванс 15 %.", "Warranty. 12 months", None]
-    assert column(spark, texts, lambda c: decisions.requirement(c, "warranty_months")) == [[12], [], [], None]
-    assert column(spark, texts, lambda c: decisions.requirement(c, "advance_percent")) == [[], [15], [], None]
-
-
 def test_paged_source(spark, tmp_path):
     for n, rows in enumerate([[{"id": 1}, {"id": 2}], [{"id": 2}]]):
         (tmp_path / f"page_{n}.json").write_text(json.dumps({"rows": rows}))

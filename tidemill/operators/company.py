@@ -185,6 +185,10 @@ def rule_patterns(words: str, unit: str) -> tuple[str, str, str]:
     return rf"\b(?:{words}){gap}{{0,{AFTER}}}?{number}", rf"{number}{gap}{{0,{BEFORE}}}?\b(?:{words})", rf"\b(?:{words}){gap}{{0,{AFTER}}}?(_{{3,}})\s*(?:{unit})"
 
 
+def _sure(name: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(name).alias("name"), v.alias("value"), F.lit(SURE).alias("confidence")))
+
+
 def requirements(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """Rows (carried columns, name, value, confidence, status): what the rules find in a
     text, each name and value once, blanks without a value to be reviewed, and terms of delivery."""
@@ -193,11 +197,11 @@ def requirements(docs: DataFrame, carry: list[str], text: str = "text") -> DataF
         after, before, blank = rule_patterns(words, unit)
         hit = lambda p: F.regexp_extract_all(text, F.lit(f"(?iu){p}"), F.lit(1))
         values = F.array_distinct(F.concat(hit(after), hit(before)))
-        found.append(F.transform(values, lambda v, name=name: F.struct(F.lit(name).alias("name"), v.alias("value"), F.lit(SURE).alias("confidence"))))
+        found.append(_sure(name, values))
         empty = F.struct(F.lit(name).alias("name"), F.lit(None).cast("string").alias("value"), F.lit(BLANK).alias("confidence"))
         found.append(F.when(F.size(hit(blank)) > 0, F.array(empty)).otherwise(F.array().cast("array<struct<name:string,value:string,confidence:double>>")))
     terms = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(map(re.escape, INCOTERMS))})\b"), F.lit(1)))
-    found.append(F.transform(terms, lambda v: F.struct(F.lit("incoterms").alias("name"), v.alias("value"), F.lit(SURE).alias("confidence"))))
+    found.append(_sure("incoterms", terms))
     rows = docs.filter(F.col(text).isNotNull()).select(*carry, F.explode(F.concat(*found)).alias("r")).select(*carry, "r.*")
     return rows.withColumn("status", F.when(F.col("confidence") < REVIEWED, "needs_review").otherwise("extracted"))
 

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions.numbers import round2, validity
 
-# Number-and-unit requirements as name, words before the number, unit.
-REQUIREMENTS = {
-    "warranty_months": (r"warrant\w*|guarantee\w*|garantie\w*|kafolat\w*|гарант\w*", r"months?|mois|monate?n?|oy|мес\w*"),
-    "delivery_days": (r"deliver\w*|livraison|lieferung\w*|yetkaz\w*|постав\w*", r"days?|jours?|tagen?|kun|дн\w*"),
-    "advance_percent": (r"advance\w*|prepay\w*|avans\w*|аванс\w*", r"%|percent|foiz|процент\w*"),
-    "experience_years": (r"experience\w*|tajriba\w*|опыт\w*", r"years?|ans|jahren?|yil|лет"),
-}
-INCOTERMS = "EXW|FCA|FAS|FOB|CFR|CIF|CPT|CIP|DAP|DPU|DDP"
-WINDOW = 130
-
-
 def waterfall(df: DataFrame) -> DataFrame:
     """The price of each row from its cost, each step rounded to cents.
 
@@ -79,7 +68,8 @@ def qualify(df: DataFrame) -> DataFrame:
     has confirmed is a risk.
 
     Columns in: missing_documents, lead_days, delivery_days, capacity, cost,
-    advance_percent, experience, experience_needed, confirmed.
+    advance_percent, experience, experience_needed, confirmed, area_path, regions
+    (paths that the company works in), certificates_held and certificates_needed.
     """
     fail = F.when(F.col("confirmed"), "fail").otherwise("risk")
     c = F.col
@@ -89,6 +79,8 @@ def qualify(df: DataFrame) -> DataFrame:
         "finance": F.when(c("capacity").isNull() | c("cost").isNull(), "unknown").when(c("cost") > c("capacity"), "fail").otherwise("ok"),
         "payment": F.when(c("advance_percent").isNull(), "unknown").when(c("advance_percent") >= 30, "ok").otherwise("risk"),
         "experience": F.when(c("experience_needed").isNull() | c("experience").isNull(), "unknown").when(c("experience") >= c("experience_needed"), "ok").otherwise(fail),
+        "region": F.when(c("area_path").isNull() | (F.coalesce(F.size("regions"), F.lit(0)) <= 0), "unknown").when(F.exists("regions", lambda r: (c("area_path") == r) | c("area_path").startswith(F.concat(r, F.lit(".")))), "ok").otherwise("risk"),
+        "safety": F.when(c("certificates_needed").isNull() | (F.size("certificates_needed") == 0), "unknown").when(F.size(F.array_except("certificates_needed", F.coalesce("certificates_held", F.array().cast("array<string>")))) == 0, "ok").otherwise(fail),
     }
     out = df
     for name, status in criteria.items():
@@ -106,10 +98,3 @@ def checklist(required: DataFrame, documents: DataFrame, today: str) -> DataFram
     both = required.join(documents, ["company", "doc_type"], "left").withColumn("state", F.when(F.col("doc_id").isNull(), "missing").otherwise(state))
     w = Window.partitionBy("company", "doc_type").orderBy(rank, F.desc_nulls_last("perpetual"), F.desc_nulls_last("valid_until"), "doc_id")
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
-def requirement(text: Column, name: str) -> Column:
-    """All numbers that a requirement's words and unit stand around, in one sentence."""
-    words, unit = REQUIREMENTS[name]
-    pattern = rf"(?iu)(?:{words})[^.!?\n]{{0,{WINDOW}}}?(?<!\d)(\d{{1,4}})\s*(?:{unit})"
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import numbers, text as tx
 from tidemill.operators import decisions as op
 from tidemill.plans.registry import query
-from tidemill.sources.tables import areas, goods, table, tenders  # noqa: F401
+from tidemill.sources.tables import goods, table, tenders
 
 R2 = "sign({x}) * floor(abs({x}) * 100 + 1e-9 + 0.5) / 100"
 r2 = lambda x: R2.format(x=f"({x})")
@@ -67,19 +67,25 @@ def stock_allocation(spark, sf_dir):
 
 @query("""
 x AS (SELECT id, id % 4 AS missing, id % 25 AS lead, CASE WHEN id % 6 > 0 THEN id % 31 END AS delivery, 200000.0 AS capacity, totalcost::DOUBLE AS cost,
-  CASE WHEN id % 3 > 0 THEN id % 60 END AS advance, id % 9 AS exp, CASE WHEN id % 2 = 0 THEN 3 END AS needed, id % 5 <> 0 AS confirmed FROM tenders),
+  CASE WHEN id % 3 > 0 THEN id % 60 END AS advance, id % 9 AS exp, CASE WHEN id % 2 = 0 THEN 3 END AS needed, id % 5 <> 0 AS confirmed, area_path,
+  id % 3 AS held, id % 4 AS certs FROM tenders),
 c AS (SELECT *, CASE WHEN confirmed THEN 'fail' ELSE 'risk' END AS f FROM x),
 s AS (SELECT id, [CASE WHEN missing = 0 THEN 'ok' ELSE f END, CASE WHEN delivery IS NULL THEN 'unknown' WHEN lead <= delivery THEN 'ok' ELSE f END,
   CASE WHEN cost > capacity THEN 'fail' ELSE 'ok' END, CASE WHEN advance IS NULL THEN 'unknown' WHEN advance >= 30 THEN 'ok' ELSE 'risk' END,
-  CASE WHEN needed IS NULL THEN 'unknown' WHEN exp >= needed THEN 'ok' ELSE f END] AS l FROM c)
+  CASE WHEN needed IS NULL THEN 'unknown' WHEN exp >= needed THEN 'ok' ELSE f END,
+  CASE WHEN area_path IS NULL THEN 'unknown' WHEN area_path = '1' OR starts_with(area_path, '1.') OR starts_with(area_path, '3.') THEN 'ok' ELSE 'risk' END,
+  CASE WHEN certs = 0 THEN 'unknown' WHEN held >= 1 AND (certs < 3 OR held = 2) THEN 'ok' ELSE f END] AS l FROM c)
 SELECT id, CASE WHEN list_contains(l, 'fail') THEN 'no_go' WHEN len(list_filter(l, lambda y: y = 'ok')) >= 3 AND NOT list_contains(l, 'risk') THEN 'go' ELSE 'review' END AS decision FROM s""")
 def qualification_decision(spark, sf_dir):
-    """Criteria by case expressions, one decision for each tender."""
+    """Seven criteria by case expressions, one decision for each tender."""
     i = F.col("id")
+    held = F.when(i % 3 == 2, F.array(F.lit("fire"), F.lit("works"))).when(i % 3 == 1, F.array(F.lit("works")))
+    needed = F.when(i % 4 == 3, F.array(F.lit("works"), F.lit("fire"))).when(i % 4 > 0, F.array(F.lit("works")))
     x = tenders(spark, sf_dir).select(
         "id", (i % 4).alias("missing_documents"), (i % 25).alias("lead_days"), F.when(i % 6 > 0, i % 31).alias("delivery_days"), F.lit(200000.0).alias("capacity"),
         F.col("totalcost").cast("double").alias("cost"), F.when(i % 3 > 0, i % 60).alias("advance_percent"), (i % 9).alias("experience"),
         F.when(i % 2 == 0, F.lit(3)).alias("experience_needed"), (i % 5 != 0).alias("confirmed"),
+        "area_path", F.array(F.lit("1"), F.lit("3")).alias("regions"), held.alias("certificates_held"), needed.alias("certificates_needed"),
     )
     return op.qualify(x).select("id", "decision")
 
@@ -110,7 +116,7 @@ def checklist_best_doc(spark, sf_dir):
 SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, len(regexp_extract_all(text, '(?i)licen[sc]e')) AS licences,
   nullif(regexp_extract(text, '(?i)version\\s+([0-9]+)', 1), '') AS version FROM documents""", views=False)
 def requirement_regex_counts(spark, sf_dir):
-    """What rules find in each text."""
+    """What patterns count in each text."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id", F.regexp_count("text", F.lit("[0-9]+")).cast("long").alias("numbers"), F.regexp_count("text", F.lit("(?i)licen[sc]e")).cast("long").alias("licences"),
