@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -65,6 +67,42 @@ def test_pii_rows(spark):
     last = next(r.spans for r in got if r.doc_id == 300_004)
     assert "iban:" in last and "ssn:" in last and "name:" in last
     assert pii.op9(brute.frame(spark).limit(0)).count() == 0
+    clash = brute.frame(spark, rows).withColumn("spans", F.lit(1)).withColumn("row", F.lit(2)).withColumn("found", F.lit(3))
+    assert Counter(pii.op9(clash).collect()) == Counter(got)
+    assert pii.spans(clash, clash.columns).select("row.*").columns == clash.columns
+
+
+def test_pii_added_spans_of_long_texts():
+    """Candidates and votes in linear time, spans as a plain double loop finds them."""
+    text = "call 030 1234567 or +49 30 1234567, ip 10.0.0.1, Dr. Maria Garcia, ssn 078-05-1120 mail a@b.de 0300 1234567@b.de " * 200
+    base = pii.base_spans(text)
+    taken = [x[1:] for x in base]
+    got = pii.added_candidates(text, base)
+    every = pii.added_candidates(text, [])
+    assert got == [x for x in every if not any(a < x[2] and x[1] < b for a, b in taken)] and got != every
+    began = time.perf_counter()
+    found = pii.candidates(text * 100)
+    assert len(found) >= 100 * len(base) and time.perf_counter() - began < 30
+
+
+def test_pii_overlaps_go_to_the_likelier():
+    found = [("ssn", 0, 9, 0.6), ("phone_local", 5, 20, 0.9), ("name", 20, 30, 0.7), ("iban", 29, 40, 0.7), ("card", 3, 25, 0.1), ("ipv6", 50, 60, 0.4)]
+    assert pii.decided(found) == [("card", 3, 25, 0.1), ("phone_local", 5, 20, 0.9), ("name", 20, 30, 0.7)]
+
+
+def test_pii_model_learns_from_votes():
+    """EM ranks labelers by how they agree: one that votes at random ends less reliable than those that agree."""
+    rng = random.Random(5)
+    counts = Counter()
+    for _ in range(4000):
+        real = rng.random() < 0.5
+        sure = lambda right: (1 if real else -1) * (1 if rng.random() < right else -1)  # noqa: E731, B023
+        counts["ssn", pii._code((sure(0.95), sure(0.9), 0, sure(0.5), 0, sure(0.9)))] += 1
+    model = pii.Model(counts)
+    of = model.by_kind[pii.KINDS.index("ssn")]
+    assert of[0] > 0.88 and of[1] > 0.82 and of[3] < 0.62
+    right = sum(n for (k, c), n in counts.items() if (model.probability(k, pii._decode(c)) >= 0.5) == (sum(pii._decode(c)[j] for j in (0, 1, 5)) > 0))
+    assert right == sum(counts.values())
 
 
 def all_cuts(pieces, word):
@@ -110,6 +148,37 @@ def test_base_scores(spark):
     assert lattice_lm.op6(brute.frame(spark).limit(0)).count() == 0
 
 
+def test_scores_equal_plain_lattices(spark):
+    """score and lattice_score against the sum over every segmentation, one by one."""
+    texts = ["the nation", "the the sat", "a nation of cats", "sat", None, "a a a a the", "cats of the nation sat"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    docs = brute.frame(spark, rows).withColumn("word", F.lit(1)).withColumn("rest", F.lit(2)).withColumn("key", F.lit(3))
+    got = {r.row.doc_id: r for r in lattice_lm.score(docs, F.col("doc_id") < 5, docs.columns, head_words=2).collect()}
+    assert got[0].row.asDict().keys() == set(docs.columns)
+    train = [(t or "").split() for t in texts[:5]]
+    c = Counter(w for t in train for w in t)
+    n, ones, twos = sum(c.values()) + len(train), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    off = ones / (ones + 2 * twos)
+    spare = off * (len(c) + 1) / n
+    counts = spark.createDataFrame([(w.encode(), k) for w, k in c.items()], "word binary, c long")
+    path = lattice_lm.vocabulary_path()
+    pieces = lattice_lm.Pieces(path, lattice_lm.fit(counts, path, len(train)))
+    end = math.log10((len(train) - off) / n + spare * len(train) / n)
+    for i, t in enumerate(texts):
+        own = [all_cuts(pieces, "▁" + w) for w in (t or "").split()]
+        assert got[i].lattice_score == pytest.approx(end + sum(map(math.log10, own)), rel=1e-9)
+        both = [max(c[w] - off, 0) / n + spare * p for w, p in zip((t or "").split(), own)]
+        assert got[i].score == pytest.approx(end + sum(map(math.log10, both)), rel=1e-9)
+
+
+def test_least_count(spark):
+    counts = spark.createDataFrame([(str(i).encode(), i) for i in range(1, 1001)], "word binary, c long")
+    for most in (0, 1, 10, 500, 999, 5000):
+        least = lattice_lm.least_count(counts, most)
+        assert least >= 2 and sum(i >= least for i in range(1, 1001)) <= most
+        assert most != 500 or sum(i >= least for i in range(1, 1001)) > 400
+
+
 def test_toxicity_fits_all_patterns(spark, monkeypatch):
     """Sums made by tasks give the model that the driver gets from all patterns at once."""
     rows, labels = [], []

@@ -5,17 +5,20 @@ its check digits, a gazetteer, and the words around it. Votes of the whole
 corpus are counted by kind and pattern; expectation-maximisation over these
 counts estimates how reliable each labeler is, and the posterior labels train a
 linear classifier that decides on a span. Spans of the base kinds stay as they
-are; those of further kinds are added where the classifier says so and no base
-span is touched.
+are; those of further kinds are added where the classifier says so and neither a
+base span nor a likelier added one is touched.
 
-Null and empty texts have no spans; repeated rows are rows of their own.
+Texts are read once: candidates and votes are stored, counted and decided on from
+there. Null and empty texts have no spans; repeated rows are rows of their own; of
+added spans that are equally likely the first stays. An empty table gives no rows;
+further columns go along where they are carried.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemill.llm.common import map_arrow, map_text
+from tidemill.llm.common import map_arrow, map_text, stored
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("email_at", "ssn", "iban", "phone_local", "ipv6", "name")
@@ -107,10 +111,31 @@ def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
         if kind == "email_at" and not re.search(r"[\[(]at[\])]", text, re.I):
             continue
         found += [(kind, *m.span()) for m in pattern.finditer(text)]
-    if base and found:
-        taken = sorted((a, b) for _, a, b in base)
-        found = [(k, a, b) for k, a, b in found if not any(x < b and a < y for x, y in taken)]
-    return found
+    taken = Disjoint((a, b) for _, a, b in base)
+    return [x for x in found if taken.free(*x[1:])]
+
+
+class Disjoint:
+    """Spans of a text, those that meet joined."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.begins, b)  # the last span that begins before b
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.begins, a)
+        self.begins.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
@@ -172,14 +197,19 @@ class Model:
         of = np.array([KINDS.index(k) for k, _ in keys], int)
         # start: the majority of votes
         p = 1 / (1 + np.exp(-1.5 * v.sum(axis=1) - 0.5))
+        kinds = np.eye(len(KINDS))[of]
         for _ in range(rounds):
-            right = [(((v == 1) * p[:, None] + (v == -1) * (1 - p[:, None])) * n[:, None]).sum(axis=0), (np.abs(v) * n[:, None]).sum(axis=0)]
+            right = kinds.T @ (((v == 1) * p[:, None] + (v == -1) * (1 - p[:, None])) * n[:, None])
+            cast = kinds.T @ (np.abs(v) * n[:, None])
+            # a labeler's reliability over all kinds, and that on each kind drawn to it;
             # labelers are taken to be right more often than not
-            self.reliability = np.clip((right[0] + 8) / (right[1] + 10), 0.55, 0.99)
-            share = np.array([((p * n)[of == k].sum() + 1) / (n[of == k].sum() + 2) for k in range(len(KINDS))])
-            gain = np.log(self.reliability / (1 - self.reliability))
+            self.reliability = np.clip((right.sum(axis=0) + 8) / (cast.sum(axis=0) + 10), 0.55, 0.99)
+            self.by_kind = np.clip((right + 20 * self.reliability) / (cast + 20), 0.55, 0.99)
+            share = (kinds.T @ (p * n) + 1) / (kinds.T @ n + 2)
+            by_kind = np.log(self.by_kind / (1 - self.by_kind))
             prior = np.log(np.clip(share, 0.05, 0.95) / (1 - np.clip(share, 0.05, 0.95)))
-            p = 1 / (1 + np.exp(-np.clip(v @ gain + prior[of], -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip((v * by_kind[of]).sum(axis=1) + prior[of], -30, 30)))
+        gain = np.log(self.reliability / (1 - self.reliability))
         # the span classifier: logistic regression on the posterior labels
         x = np.hstack([v == 1, v == -1, np.eye(len(KINDS))[of]]).astype(float)
         self.theta = np.concatenate([gain, -gain, prior])
@@ -205,60 +235,71 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     return base + added_candidates(text, base)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Reliabilities and classifier from the votes on all spans of all texts."""
+_FOUND = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("kind", T.StringType()),
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("votes", T.IntegerType()),
+        ]
+    )
+)
+_SPANS = T.ArrayType(T.StructType([*_FOUND.elementType.fields[:3], T.StructField("p", T.DoubleType())]))
+
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        seen: Counter[tuple[str, int]] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                seen.update((k, _code(votes(text, k, a, b))) for k, a, b in candidates(text))
-        if seen:
-            yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in seen], "votes": [c for _, c in seen], "n": [*seen.values()]})
+def candidate_spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """Struct ``row`` with the carried columns, and ``found``: the candidates of each text and the votes on them."""
+
+    def make():
+        def step(texts):
+            return [[[{"kind": k, "start": a, "end": b, "votes": _code(votes(t, k, a, b))} for k, a, b in candidates(t)] for t in texts]]
 
-    counted = map_arrow(docs.select(F.col(f"`{text_col}`")), count, "kind string, votes long, n long")
+        return step
+
+    out = map_text(docs, make, T.StructType([T.StructField("found", _FOUND)]), carry, text_col)
+    return out.select("row", "out.found")
+
+
+def fit(found: DataFrame) -> Model:
+    """Reliabilities and classifier from the votes on all candidates."""
+    counted = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").agg(F.count("*").alias("n"))
     # at most ten kinds times 3^6 patterns, whatever the corpus
-    rows = counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
-    return Model({(r["kind"], r["votes"]): r["n"] for r in rows})
-
-
-_SPANS = T.StructType(
-    [
-        T.StructField(
-            "spans",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("kind", T.StringType()),
-                        T.StructField("start", T.IntegerType()),
-                        T.StructField("end", T.IntegerType()),
-                        T.StructField("p", T.DoubleType()),
-                    ]
-                )
-            ),
-        )
-    ]
-)
+    return Model({(r["kind"], r["votes"]): r["n"] for r in counted.collect()})
+
+
+def decided(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """The spans that stay of (kind, start, end, probability), by kind and start."""
+    kept = [x for x in found if x[0] in BASE]
+    taken = Disjoint()
+    for x in sorted((x for x in found if x[0] not in BASE and x[3] >= THRESHOLD), key=lambda x: (-x[3], x[1], x[2], KINDS.index(x[0]))):
+        if taken.free(x[1], x[2]):
+            taken.add(x[1], x[2])
+            kept.append(x)
+    return sorted(kept, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def spans(docs: DataFrame, carry: list[str], text_col: str = "text", model: Model | None = None) -> DataFrame:
     """Struct ``row`` with the carried columns, and the ``spans`` of each text by kind and start."""
-    model = model or fit(docs, text_col)
+    found = stored(candidate_spans(docs, carry, text_col), "candidates")
+    model = model or fit(found)
 
-    def make():
-        def step(texts):
-            out = []
-            for text in texts:
-                found = [(k, a, b, model.probability(k, votes(text, k, a, b))) for k, a, b in candidates(text)]
-                found = [x for x in found if x[0] in BASE or x[3] >= THRESHOLD]
-                found.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
-                out.append([{"kind": k, "start": a, "end": b, "p": p} for k, a, b, p in found])
-            return [out]
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        known: dict[tuple[str, int], float] = {}
 
-        return step
+        def probability(kind: str, code: int) -> float:
+            if (kind, code) not in known:
+                known[kind, code] = model.probability(kind, _decode(code))
+            return known[kind, code]
+
+        for batch in batches:
+            rows = [
+                [dict(zip(("kind", "start", "end", "p"), x)) for x in decided([(x["kind"], x["start"], x["end"], probability(x["kind"], x["votes"])) for x in own])]
+                for own in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, to_arrow_type(_SPANS))], names=["row", "spans"])
 
-    return map_text(docs, make, _SPANS, carry, text_col).select("row", "out.spans")
+    return map_arrow(found, decide, T.StructType([found.schema["row"], T.StructField("spans", _SPANS)]))
 
 
 def op9(docs: DataFrame) -> DataFrame:
