@@ -14,7 +14,8 @@ go to their counts by a join on the word, so no word gathers rows.
 
 Null texts count as empty: their end alone is scored. Repeated rows count and
 are scored as often as they occur. Without training texts the first weights
-score alone.
+score alone. An empty table gives no rows; further columns go along where they are
+carried; a word of any length is one lattice.
 """
 
 from __future__ import annotations
@@ -232,9 +233,27 @@ def fit(counts: DataFrame, path: str, n_texts: int, rounds: int = ROUNDS) -> np.
     return log_p
 
 
+def least_count(words: DataFrame, most: int) -> int:
+    """The least count, 2 at least, that no more than so many words have or pass.
+
+    Counts fall into eighths of powers of two, so the histogram has a few hundred
+    rows whatever the corpus is, and no words are sorted.
+    """
+    band = F.floor(8 * F.log2("c")).cast("int").alias("band")
+    rows = words.filter("c > 1").groupBy(band).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    least, total = 2**62, 0
+    for r in sorted(rows, key=lambda r: -r["band"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["c"]
+    return least
+
+
 def score(docs: DataFrame, train: Column, carry: list[str], text_col: str = "text", path: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
-    """The carried columns in struct ``row``, and n_tokens, n_known, train_tokens,
-    base_score and score of each row. train: which rows to learn from."""
+    """The carried columns in struct ``row``, and n_tokens, n_known, train_tokens, base_score
+    and score of each row, and lattice_score, to which words as a whole add no arc. train:
+    which rows to learn from."""
     spark = docs.sparkSession
     path = path or vocabulary_path()
     train = F.coalesce(train, F.lit(False))
@@ -259,17 +278,18 @@ def score(docs: DataFrame, train: Column, carry: list[str], text_col: str = "tex
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         pieces = Pieces(path, log_p)
         for batch in _gathered(batches):
-            base, own = both(np.array(batch.column(1), float), pieces.log_likelihood(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base), pa.array(own)], names=["word", "c", "base", "own"])
+            lattice = pieces.log_likelihood(batch.column(0).to_pylist())
+            base, own = both(np.array(batch.column(1), float), lattice)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base), pa.array(own), pa.array(lattice / math.log(10))], names=["word", "c", "base", "own", "cut"])
 
-    words = stored(map_arrow(counts, weigh, "word binary, c long, base double, own double"), "weighed")
-    head = words.filter("c > 1").orderBy(F.desc("c"), "word").limit(head_words).collect()
-    known = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["base"], r["own"]) for r in head})
+    words = stored(map_arrow(counts, weigh, "word binary, c long, base double, own double, cut double"), "weighed")
+    head = words.filter(F.col("c") >= least_count(words, head_words)).collect()
+    known = spark.sparkContext.broadcast({bytes(r["word"]): (r["base"], r["own"], r["cut"]) for r in head})
     end_base, end_own = math.log10(texts + 0.5) - below, math.log10(end)
 
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     inner = docs.select(F.monotonically_increasing_id().alias("key"), row, F.col(f"`{text_col}`").alias("text"))
-    sums = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("own", T.DoubleType())]
+    sums = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("base", "own", "cut")]]
     rest = T.StructField("rest", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType())])))
     schema = T.StructType([T.StructField("key", T.LongType()), inner.schema["row"], *sums, rest])
 
@@ -278,36 +298,37 @@ def score(docs: DataFrame, train: Column, carry: list[str], text_col: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n_tokens, n_known, base, own, starts, others, times = [], [], [], [], [0], [], []
+                n_tokens, n_known, base, own, cut, starts, others, times = [], [], [], [], [], [0], [], []
                 for text in part.column(2):
                     said = utf8(text.as_py()).lower().split()
-                    k, b, o = int(texts > 0), end_base, end_own
+                    k, b, o, s = int(texts > 0), end_base, end_own, end_own
                     for w, n in Counter(said).items():
                         found = get(w)
                         if found is None:
                             others.append(w)
                             times.append(n)
                         else:
-                            k, b, o = k + n, b + n * found[1], o + n * found[2]
+                            k, b, o, s = k + n, b + n * found[0], o + n * found[1], s + n * found[2]
                     n_tokens.append(len(said) + 1)
                     n_known.append(k)
                     base.append(b)
                     own.append(o)
+                    cut.append(s)
                     starts.append(len(others))
                 listed = pa.ListArray.from_arrays(
                     pa.array(starts, pa.int32()),
                     pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]),
                 )
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own), listed], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own), pa.array(cut), listed], names=schema.names)
 
     texts_read = stored(map_arrow(inner, read, schema), "read")
     tail = texts_read.select("key", F.explode("rest").alias("r")).select("key", "r.word", "r.times")
     tail = tail.join(words, "word").groupBy("key").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("own")).alias("o")
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("own")).alias("o"), F.sum(F.col("times") * F.col("cut")).alias("s")
     )
     scored = texts_read.drop("rest").join(tail, "key", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return scored.select("row", "n_tokens", add("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), add("base", "b").alias("base_score"), add("own", "o").alias("score"))
+    return scored.select("row", "n_tokens", add("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), add("base", "b").alias("base_score"), add("own", "o").alias("score"), add("cut", "s").alias("lattice_score"))
 
 
 def held_out(id_col: Column) -> Column:
@@ -316,4 +337,4 @@ def held_out(id_col: Column) -> Column:
 
 def op6(docs: DataFrame) -> DataFrame:
     got = score(docs, ~held_out(F.col("doc_id")), ["doc_id"])
-    return got.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return got.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
