@@ -313,10 +313,10 @@ def templates(pages: DataFrame) -> DataFrame:
     A host has at most its mean number of tokens a page / SUPPORT of tokens.
     """
     vector = F.bit_xor(F.xxhash64("page", "times"))  # of the pages a token is on, how often it is there
-    counted = tokens(pages).groupBy("host", "token").agg(
-        vector.alias("vector"), F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.bool_and("fit").alias("fit"),
-        F.min("parent").alias("parent"), F.min("tag").alias("tag"), F.min("depth").alias("depth"),
-    )
+    # a token tells its parent, tag and depth; as keys they leave a hash aggregate
+    counted = tokens(pages).groupBy("host", "token", "parent", "tag", "depth").agg(
+        vector.alias("vector"), F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.bool_and("fit").alias("fit")
+    )
     often = counted.filter(F.col("pages") >= 2).join(pages.groupBy("host").agg(F.count("*").alias("total")), "host")
     often = often.filter(F.col("pages") >= SUPPORT * F.col("total"))
     token = F.struct("token", "parent", "tag", "depth", "chars", "fit")
