@@ -11,15 +11,25 @@ from tidemill.plans.registry import query
 from tidemill.plans.search import OPEN
 from tidemill.sources.tables import AS_OF, areas, goods, table, tenders
 
+#: Statuses that a tender does not leave.
+TERMINAL = ("finished",)
+
 
 @query("SELECT area_id, len(string_split(area_id, '.')) AS level, CASE WHEN contains(area_id, '.') THEN split_part(area_id, '.', 1) END AS parent, name FROM areas")
 def area_levels(spark, sf_dir):
-    """Level and parent of each node by its path."""
+    """Level and parent of each node by its path."""
     a = areas(spark, sf_dir)
     parent = F.when(F.contains("area_id", F.lit(".")), F.split_part("area_id", F.lit("."), F.lit(1)))
     return a.select("area_id", F.size(F.split("area_id", r"\.")).cast("long").alias("level"), parent.alias("parent"), "name")
 
 
+@query("SELECT status AS status_code, 'tender' AS domain, status = 'finished' AS is_terminal, count(*) AS tenders FROM tenders GROUP BY status")
+def statuses(spark, sf_dir):
+    """The dimension of statuses, which of them are final, and their tenders."""
+    by = tenders(spark, sf_dir).groupBy(F.col("status").alias("status_code")).agg(F.count("*").alias("tenders"))
+    return by.select("status_code", F.lit("tender").alias("domain"), F.col("status_code").isin(*TERMINAL).alias("is_terminal"), "tenders")
+
+
 @query("""
 m AS (SELECT l_partkey AS id, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END::DECIMAL(18,3)) AS moved FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1)
 SELECT p_partkey AS id, CASE WHEN m.id IS NOT NULL THEN moved ELSE p_size END::DOUBLE AS stock, m.id IS NOT NULL AS by_movement

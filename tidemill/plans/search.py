@@ -99,6 +99,17 @@ def nested_detail(spark, sf_dir):
 SELECT event_type, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k_sum, count(DISTINCT props->>'k') AS k_distinct
 FROM events GROUP BY 1""", views=False)
 def json_fields(spark, sf_dir):
-    """Fields of JSON records by a declared schema."""
+    """Fields of JSON records by a declared schema."""
     e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long").alias("p"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k_sum"), F.countDistinct("p.k").alias("k_distinct"))
+
+
+@query("""
+SELECT event_id, nullif(trim(props->>'k'), '') AS k_text, try_cast(props->>'k' AS BIGINT) AS k_int, nullif(trim(props->>'none'), '') AS none
+FROM events""", views=False)
+def field_bag(spark, sf_dir):
+    """Fields of a bag by name, as text and as whole numbers; blank and missing ones are null."""
+    bag = F.from_json("props", "map<string,string>")
+    text = lambda key: F.nullif(F.trim(F.col("bag")[key]), F.lit(""))
+    e = table(spark, sf_dir, "events").select("event_id", bag.alias("bag"))
+    return e.select("event_id", text("k").alias("k_text"), text("k").try_cast("long").alias("k_int"), text("none").alias("none"))

@@ -136,6 +136,30 @@ def corpus_stats(spark, sf_dir):
     )
 
 
+@query("""
+SELECT source, count(*) AS total, count(*) FILTER (WHERE v.vec_id IS NULL) AS unvectorised, sum(n_chars)::BIGINT AS chars
+FROM documents LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) v ON v.vec_id = doc_id GROUP BY source""", views=False)
+def unvectorised(spark, sf_dir):
+    """Documents of each source that no vector stands for yet."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct().withColumn("has", F.lit(True))
+    return d.join(v, "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("has").isNull()).alias("unvectorised"), F.sum("n_chars").alias("chars"))
+
+
+@query("""
+SELECT event_type, count(*) AS total, count(*) FILTER (WHERE ts > n.at - INTERVAL 24 HOUR) AS day_new, count(DISTINCT user_id) AS users,
+  round((epoch(max(n.at)) - epoch(min(ts))) / 86400.0, 6) AS age_days FROM events, (SELECT max(ts) AS at FROM events) n GROUP BY event_type""", views=False)
+def freshness(spark, sf_dir):
+    """What came in the last day before the latest record, and the age of the oldest."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id", "ts")
+    at = e.agg(F.max("ts")).first()[0]
+    at = F.lit(at).cast("timestamp_ntz") if dict(e.dtypes)["ts"] == "timestamp_ntz" else F.lit(at)
+    age = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(86400e6)
+    return e.groupBy("event_type").agg(
+        F.count("*").alias("total"), F.count_if(F.col("ts") > at - F.expr("INTERVAL 24 HOURS")).alias("day_new"), F.countDistinct("user_id").alias("users"), F.round(age, 6).alias("age_days")
+    )
+
+
 BANDS = "CASE WHEN value >= 85 THEN 'high' WHEN value >= 60 THEN 'mid' ELSE 'low' END"
 
 
