@@ -76,3 +76,71 @@ def test_lexical_rank(spark):
     got = {r.doc_id: r["rank"] for r in QUERIES["lexical_rank"](spark, "/root/testdata/sf0.001").collect()}
     for d in docs:
         assert got[d.doc_id] == pytest.approx(cover_rank(re.split(r"[\W_]+", d.text.lower()), ["the", "and"]), abs=2e-6)
+
+
+def place_asked(t, ways, void):
+    """Every first stem against every other one."""
+    for way in ways:
+        at = [[i for i in range(len(t)) if t.startswith(w, i)] for w in way]
+        for a in at[0]:
+            near = [min(((abs(x - a), x) for x in own if abs(x - a) <= terms.REACH), default=None) for own in at[1:]]
+            if None in near:
+                continue
+            low = min([a, *(x for _, x in near)])
+            high = max([a + len(way[0]), *(x + len(w) for (_, x), w in zip(near, way[1:]))])
+            if not any(v in t[max(0, low - terms.AROUND) : high + terms.AROUND] for v in void):
+                return low, high, 90 if way[1:] else 70
+    return None
+
+
+def test_documents_asked_by_brute_force(spark):
+    rng = random.Random(3)
+    words = "copy license bank guarantee goods conformity certificate charter similar contract of software лицензия и".split()
+    texts = ["", None, "license", "bank" + "x" * 80 + "guarantee", "bank" + "x" * 76 + "guarantee", "bank guarantee of goods", "лицензия"]
+    texts += [" ".join(rng.choice([*words, "." * rng.randrange(40)]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {(r.i, f.kind): (f.start, f.end, f.confidence) for r in df.select("i", terms.documents_asked(F.col("text")).alias("f")).collect() for f in r.f}
+    want = {(i, k): p for i, t in enumerate(texts) for k, (ways, void) in terms.ASKED.items() if (p := place_asked(t or "", ways, void))}
+    assert got == want and {k for _, k in want} == {"license", "certificate", "charter", "guarantee", "experience"}
+    assert (3, "guarantee") not in got and got[4, "guarantee"] == (0, 87, 90) and (5, "guarantee") not in got and got[6, "license"] == (0, 6, 70)
+    long = "bank " * 100_000 + "guarantee"
+    places = terms.places_asked(long, terms.ASKED)
+    assert [(p["kind"], p["end"]) for p in places] == [("guarantee", len(long) - 2)]
+
+
+def test_excerpts_by_brute_force():
+    rng = random.Random(8)
+    texts = ["", None, "İ licence İ CERTIFIED"] + ["".join(rng.choice(["licen", "Certif", "x" * rng.randrange(90), " "]) for _ in range(rng.randrange(20))) for _ in range(200)]
+    for t in texts:
+        t = t or ""
+        near = set()
+        for w in ("licen", "certif"):
+            near |= {k for i in range(len(t)) if t[i : i + len(w)].lower() == w for k in range(max(0, i - 60), min(len(t), i + len(w) + 60))}
+        got = terms.excerpts(t, ["licen", "certif"])
+        assert sorted(k for a, b in got for k in range(a, b)) == sorted(near)[:400]
+        assert all(b < c for (_, b), (c, _) in zip(got, got[1:]))
+
+
+def test_message_packing(spark):
+    """Turns in order, each once, none over the limit that could be parted, none that had room before."""
+    sf = "/root/testdata/sf0.001"
+    turns = {}
+    for r in sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn, r.role, r.text or "")):
+        turns.setdefault(r.conv_id, []).append(len(r.text or ""))
+    got = QUERIES["message_packing"](spark, sf).collect()
+    assert sorted(r.conv_id for r in got) == sorted(turns)
+    for size, packs in [(4000, [(turns[r.conv_id], r.messages) for r in got]), (50, [(t, terms.packed(["x" * n for n in t], 50)) for t in ([10, 39, 1], [49, 0], [60, 5, 50], [], [0, 0])])]:
+        for own, messages in packs:
+            assert [i for m in messages for i in m] == list(range(len(own)))
+            length = [sum(own[i] for i in m) + len(m) - 1 for m in messages]
+            assert all(n <= size or len(m) == 1 for n, m in zip(length, messages))
+            assert all(n + 1 + own[m[0]] > size for n, m in zip(length, messages[1:]))
+
+
+def test_term_keys(spark):
+    names = ["Kabellarning  Qora", "qora kabel", "QORA-kabellar", "dan", None, "", "stol", "stollar"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, x string")
+    got = {r.i: r.y for r in df.select("i", terms.term_key(F.col("x")).alias("y")).collect()}
+    assert got[0] == got[1] == got[2] and got[6] == got[7] != got[0]
+    assert got[3] is not None and got[4] is None and got[5] == ""
+    assert [terms.stem(w) for w in ("stollar", "dardan", "onlar")] == ["stol", "dardan", "onlar"]

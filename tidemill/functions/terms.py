@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
@@ -84,8 +85,8 @@ def excerpts(text: str | None, words: list[str], around: int = 60, budget: int =
     """Spans around the words, overlapping ones merged, up to a budget of characters."""
     if not text:
         return []
-    low, spans = text.lower(), []
-    hits = sorted(m.span() for w in words for m in re.finditer(re.escape(w), low))
+    spans = []
+    hits = sorted(m.span() for w in words for m in re.finditer(re.escape(w), text, re.I))
     for a, b in hits:
         a, b = max(0, a - around), min(len(text), b + around)
         if spans and a <= spans[-1][1]:
@@ -109,6 +110,64 @@ def excerpt(c: Column, words: list[str]) -> Column:
     return find(c)
 
 
+#: How far from a way's first stem its others may stand, and what is read around them all.
+REACH, AROUND = 80, 40
+
+#: For each kind of document its ways of being asked for (stems that stand together), and
+#: words that make such a place void.
+Rules = dict[str, tuple[tuple[tuple[str, ...], ...], tuple[str, ...]]]
+
+# Fixed values.
+ASKED: Rules = {
+    "license": ((("licen", "copy"), ("лиценз",), ("litsenz",)), ("software", "soft")),
+    "certificate": ((("certif", "conform"), ("сертифик", "соответств"), ("sertifikat",)), NEGATIONS),
+    "charter": ((("charter", "copy"), ("устав", "копи"), ("ustav",)), NEGATIONS),
+    "guarantee": ((("bank", "guarant"), ("банк", "гарант"), ("bank", "kafolat")), ("goods", "товар")),
+    "experience": ((("similar", "contract"), ("аналогич", "договор"), ("tajriba",)), NEGATIONS),
+}
+
+
+def _place(text: str, stems: tuple[str, ...], void: tuple[str, ...]) -> tuple[int, int] | None:
+    """The first place where all stems stand within reach of the first one, not made void."""
+    at = [[m.start() for m in re.finditer(re.escape(s), text)] for s in stems]
+    for a in at[0] if all(at) else ():
+        low, high = a, a + len(stems[0])
+        for stem, own in zip(stems[1:], at[1:]):
+            k = bisect_left(own, a)
+            near = min(own[max(0, k - 1) : k + 1], key=lambda x: abs(x - a))
+            if abs(near - a) > REACH:
+                break
+            low, high = min(low, near), max(high, near + len(stem))
+        else:
+            around = text[max(0, low - AROUND) : high + AROUND]
+            if not any(w in around for w in void):
+                return low, high
+    return None
+
+
+def places_asked(text: str | None, rules: Rules) -> list[dict]:
+    """Each kind that a text asks for, where its first way that holds does so, and how sure
+    that is: 90 for stems that stand together, 70 for a single one."""
+    found = []
+    for kind, (ways, void) in rules.items():
+        first = next(((p, w) for w in ways if (p := _place(text or "", w, void))), None)
+        if first:
+            (low, high), way = first
+            found.append({"kind": kind, "start": low, "end": high, "confidence": 90 if len(way) > 1 else 70})
+    return found
+
+
+def documents_asked(c: Column, rules: Rules = ASKED) -> Column:
+    """places_asked of a text column that is in lower case or folded already. Null and
+    empty texts ask for nothing."""
+
+    @F.pandas_udf("array<struct<kind:string,start:int,end:int,confidence:int>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: places_asked(t, rules))
+
+    return find(c)
+
+
 def documents_named(c: Column) -> Column:
     """Kinds of documents that a text asks for, unless it says shortly after that it doesn't."""
     found = []

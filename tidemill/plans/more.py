@@ -208,6 +208,38 @@ def document_excerpts(spark, sf_dir):
     return d.select("doc_id", terms.documents_named(F.col("text")).alias("kinds"), terms.excerpt(F.col("text"), ["licen", "certif"]).alias("spans"))
 
 
+#: Words that stand in for documents, as the texts at hand name hardly any.
+PLACED: terms.Rules = {
+    "from": ((("from", "with"), ("von", "und")), ("that",)),
+    "for": ((("these", "other"), ("for",)), ("this",)),
+    "licence": ((("licen",), ("certif",)), ()),
+}
+_WAYS = ", ".join(
+    f"('{kind}', {i}, '{way[0]}', {repr(way[1]) if way[1:] else 'NULL'}, {repr(void[0]) if void else 'NULL'})"
+    for kind, (ways, void) in PLACED.items() for i, way in enumerate(ways)
+)
+
+
+@query(f"""
+r(kind, way, a, b, void) AS (VALUES {_WAYS}),
+d AS (SELECT doc_id, lower(text) AS t FROM documents),
+p AS (SELECT doc_id, stem, string_split(t, stem) AS parts FROM d, (SELECT a AS stem FROM r UNION SELECT b FROM r WHERE b IS NOT NULL) WHERE contains(t, stem)),
+o AS (SELECT doc_id, stem, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: len(x)))::BIGINT + (i - 1) * len(stem))) AS pos FROM p),
+n AS (
+  SELECT doc_id, kind, way, a, b, void, f.pos, min(struct_pack(gap := abs(s.pos - f.pos), pos := s.pos)) FILTER (s.pos IS NOT NULL) AS near
+  FROM r JOIN o f ON f.stem = a LEFT JOIN (SELECT doc_id AS doc, stem AS other, pos FROM o) s ON doc = doc_id AND other = b AND abs(s.pos - f.pos) <= {terms.REACH} GROUP BY ALL),
+h AS (
+  SELECT *, least(pos, coalesce(near.pos, pos)) AS low, greatest(pos + len(a), coalesce(near.pos + len(b), 0)) AS high FROM n WHERE b IS NULL OR near IS NOT NULL),
+k AS (
+  SELECT h.*, row_number() OVER (PARTITION BY doc_id, kind ORDER BY way, pos) AS place FROM h JOIN d USING (doc_id)
+  WHERE void IS NULL OR NOT contains(substr(t, greatest(0, low - {terms.AROUND}) + 1, high + {terms.AROUND} - greatest(0, low - {terms.AROUND})), void))
+SELECT doc_id, kind, low::INT AS "start", high::INT AS "end", CASE WHEN b IS NULL THEN 70 ELSE 90 END AS confidence FROM k WHERE place = 1""", views=False)
+def required_documents(spark, sf_dir):
+    """What kinds of documents each text asks for, where, and how sure that is."""
+    d = table(spark, sf_dir, "documents").select("doc_id", terms.documents_asked(F.lower("text"), PLACED).alias("found"))
+    return d.select("doc_id", F.inline("found"))
+
+
 @query()
 def message_packing(spark, sf_dir):
     """Turns of a conversation packed in order into messages of a size limit."""
