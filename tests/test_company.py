@@ -103,3 +103,26 @@ def test_nearest_in_blocks(spark, monkeypatch):
         order = sorted((-round(cos(own[q], v), 9), i) for i, v in own.items() if i != q)[:4]
         want += [(q, i, n + 1) for n, (_, i) in enumerate(order)]
     assert whole == sorted(want)
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_allocation_by_brute_force(spark, width):
+    """A running sum in blocks is the sum along the order, for a product with most positions too."""
+    rng = random.Random(width)
+    stock = {0: 90, 1: 12, 2: None, None: 5}
+    rows = []
+    for i in range(300):
+        p = rng.choice([0, 0, 0, 0, 1, 2, None])
+        rows.append((i, p, rng.choice([None, 0, 1, 2, 3]), stock[p], rng.choice([True, True, True, False, None])))
+    need, want = dict.fromkeys(stock, 0), {}
+    for i, p, required, had, unit_ok in rows:
+        if not unit_ok or required is None or had is None:
+            want[i] = ("unknown", None)
+            continue
+        need[p] += required
+        want[i] = ("enough", None) if not required or need[p] <= had else ("short", min(required, need[p] - had))
+    df = spark.createDataFrame(rows, "n int, product_id int, required int, stock int, unit_ok boolean").withColumn("need", F.lit("x"))
+    got = decisions.allocate(df, ["n"], F.floor(F.col("n") / width))
+    assert got.columns == [*df.columns, "status", "shortfall"]
+    assert {r.n: (r.status, r.shortfall) for r in got.collect()} == want and len({s for s, _ in want.values()}) == 3
+    assert decisions.allocate(df.limit(0), ["n"], F.lit(0)).count() == 0

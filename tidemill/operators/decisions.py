@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,22 +44,28 @@ def waterfall(df: DataFrame) -> DataFrame:
     return out.withColumn("warnings", F.filter(warn, lambda x: x.isNotNull()))
 
 
-def allocate(positions: DataFrame, order: list[str]) -> DataFrame:
+def allocate(positions: DataFrame, order: list[str], block: Column) -> DataFrame:
     """Stock given out to positions in order: product_id, required, stock, unit_ok in;
     status and shortfall out. Positions without a usable unit, quantity or stock
     take nothing; the first one that stock doesn't cover takes what is left.
 
-    The running need is a window sum for each product; the order must be total.
+    The running need of a product is what earlier blocks need in all, and a window sum
+    inside the block, so that a product that most positions ask for is many tasks' work.
+    The order must be total, and ``block`` must never fall along it.
     """
-    usable = F.col("unit_ok") & F.col("required").isNotNull() & F.col("stock").isNotNull()
-    need = F.when(usable, F.col("required")).otherwise(0)
-    w = Window.partitionBy("product_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = positions.withColumn("_need", F.sum(need).over(w))
+    usable = F.coalesce(F.col("unit_ok"), F.lit(False)) & F.col("required").isNotNull() & F.col("stock").isNotNull()
+    rows = positions.withColumns({"_block": block, "_own": F.when(usable, F.col("required")).otherwise(0)})
+    earlier = Window.partitionBy("product_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("product_id", "_block").agg(F.sum("_own").alias("_sum"))
+    sums = sums.select(F.col("product_id").alias("_p"), F.col("_block").alias("_b"), F.sum("_sum").over(earlier).alias("_before"))
+    inside = Window.partitionBy("product_id", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.join(sums, F.col("product_id").eqNullSafe(F.col("_p")) & F.col("_block").eqNullSafe(F.col("_b")))
+    out = both.withColumn("_need", F.coalesce("_before", F.lit(0)) + F.sum("_own").over(inside))
     enough = (F.col("required") == 0) | (F.col("_need") <= F.col("stock"))
     short = F.least(F.col("required"), F.col("_need") - F.col("stock"))
     return out.withColumn("status", F.when(~usable, "unknown").when(enough, "enough").otherwise("short")).withColumn(
         "shortfall", F.when(usable & ~enough, short)
-    ).drop("_need")
+    ).drop("_need", "_own", "_before", "_block", "_p", "_b")
 
 
 def qualify(df: DataFrame) -> DataFrame:

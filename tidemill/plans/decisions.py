@@ -61,7 +61,8 @@ def stock_allocation(spark, sf_dir):
         "tender_id", "lot_id", "product_id", "amount", "totalcost", F.when(F.col("lot_id") != 7, F.col("amount")).alias("required"),
         F.when(F.col("product_id") % 13 != 0, (F.col("product_id") % 400).cast("decimal(18,3)")).alias("stock"), (F.col("product_id") % 17 != 0).alias("unit_ok"),
     )
-    out = op.allocate(positions, ["tender_id", "lot_id", "totalcost", "amount"])
+    # tenders of one block come one after the other
+    out = op.allocate(positions, ["tender_id", "lot_id", "totalcost", "amount"], F.floor(F.col("tender_id") / 4096))
     return out.groupBy("product_id", "status").agg(F.count("*").alias("n"), F.sum("shortfall").cast("double").alias("shortfall"))
 
 
