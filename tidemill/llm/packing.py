@@ -10,12 +10,15 @@ fullest sequence that still holds it. Spark numbers the pieces of each length
 and looks their places up in the plan.
 
 Null texts count as empty ones: a piece with the end id alone. Repeated rows
-are packed as often as they occur; no rows give no sequences.
+are packed as often as they occur; no rows give no sequences. Very long texts are
+cut into as many pieces as they need; only the last is in competition for room.
+Equal lengths are placed by task and order of reading, so which of them goes where
+may differ from run to run, never how many sequences there are. Carried columns
+travel inside a struct, so a further column may have any name.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterable
@@ -28,72 +31,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.llm.common import map_arrow, stored
+from tidemill.llm.tokens import WordIds, tokenizer_path, word_ids  # noqa: F401
 
 SEQUENCE = 2048
 END_ID = 0
-#: Words whose ids a task remembers; only speed depends on it.
-CACHE_WORDS = 300_000
 #: What is planned, as (a sequence's share from which a length is large, groups);
 #: the plan with the fewest sequences is taken.
 PLANS = ((2, 16), (3, 8), (4, 8), (8, 16))
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class WordIds(dict):
-    """Ids, as little-endian bytes, of what stands between white space.
-
-    The vocabulary's own split never crosses white space, so words can be
-    remembered. Words within Latin-1 are split here and merged by the library's
-    model; others go through the whole tokenizer.
-    """
-
-    def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.parts: dict[str, bytes] = {}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-
-    def __missing__(self, word: str) -> bytes:
-        if max(word) < "Ā":
-            found = b"".join([self.parts.get(p) or self._part(p) for p in self.split(word.lower())])
-        else:
-            found = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
-        return found
-
-    def _part(self, part: str) -> bytes:
-        mapped = part if part.isascii() and part.isprintable() else "".join(self.byte_char[b] for b in part.encode())
-        if len(self.parts) >= CACHE_WORDS:
-            self.parts.clear()
-        self.parts[part] = found = self._packed([t.id for t in self.merge(mapped)])
-        return found
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    #: Special tokens' texts, and what only one of Python and the tokenizer takes as white space.
-    odd = re.compile(r"<\||[\x1c-\x1f\x85]").search
-
-    def encode(self, text: str) -> bytes:
-        if self.odd(text):
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, text.split()))
-
-
 _PIECE = T.StructType(
     [
         T.StructField("piece", T.IntegerType()),
@@ -120,7 +66,7 @@ def pieces(
 
         words, task, seen, end = None, TaskContext.get().partitionId(), [0] * (sequence + 1), struct.pack("<I", END_ID)
         for batch in batches:
-            words = words if words is not None else WordIds(path)
+            words = words if words is not None else word_ids(path)
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 took, rows = [], []

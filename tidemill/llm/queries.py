@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_main, lattice_lm, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity
+from tidemill.llm import decontaminate, html_main, lattice_lm, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity, wavelet
 from tidemill.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_pii(spark, sf_dir):
     return pii.op9(table(spark, sf_dir, "documents"))
 
 
+def op11_wavelet(spark, sf_dir):
+    return wavelet.op11(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main": op1_html_main,
     "op2_packing": op2_packing,
@@ -57,6 +61,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
+    "op11_wavelet": op11_wavelet,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
