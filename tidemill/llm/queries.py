@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_main, lattice_lm, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity, wavelet
+from tidemill.llm import decontaminate, divergence, html_main, lattice_lm, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity, wavelet
 from tidemill.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op11_wavelet(spark, sf_dir):
     return wavelet.op11(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark, sf_dir):
+    return divergence.op12(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main": op1_html_main,
     "op2_packing": op2_packing,
@@ -62,12 +66,36 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
     "op11_wavelet": op11_wavelet,
+    "op12_divergence": op12_divergence,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = rf"coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM (SELECT DISTINCT r, lang, term FROM w) GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+f AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0)::HUGEINT AS n, v, sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (total + 5 * v) AS p FROM f),
+l AS (SELECT lang, term, any_value(v) AS v, sum(n) AS n FROM f GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM x WHERE part = 'pair' OR rank <= 50""",
     "op4_line_dedup": """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, text, string_split(text, chr(10)) AS ls
