@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, divergence, html_main, lattice_lm, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity, wavelet
+from tidemill.llm import decontaminate, divergence, html_main, lattice_lm, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity, vector_codes, wavelet
 from tidemill.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op12_divergence(spark, sf_dir):
     return divergence.op12(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_main": op1_html_main,
     "op2_packing": op2_packing,
@@ -67,12 +71,47 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_wavelet": op11_wavelet,
     "op12_divergence": op12_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Full scans in SQL: x holds components as (r, part, pos, x), c<n> the codebook
+    after n rounds, a<n> the assignment by it."""
+    assigned = """
+a{n} AS MATERIALIZED (
+  SELECT r, part, min_by(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT r, x.part, entry, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{n} AS c ON x.part = c.part AND x.pos = c.pos GROUP BY ALL)
+  GROUP BY r, part)"""
+    updated = """
+m{n} AS (SELECT part, entry, pos, sum(x)::BIGINT AS s, count(*) AS k FROM x JOIN a{b} USING (r, part) GROUP BY ALL),
+c{n} AS MATERIALIZED (
+  SELECT part, entry, pos, CASE WHEN k IS NULL THEN x ELSE (s - ((s % k) + k) % k) // k END AS x
+  FROM c{b} LEFT JOIN m{n} USING (part, entry, pos))"""
+    steps = [assigned.format(n=0)]
+    for n in range(1, rounds + 1):
+        steps += [updated.format(n=n, b=n - 1), assigned.format(n=n)]
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS r, vec_id, label, embedding
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, (i - 1) // (len(embedding) // 4) AS part, (i - 1) % (len(embedding) // 4) AS pos, floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM e, unnest(range(1, len(embedding) + 1)) AS t(i)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x FROM x WHERE r <= 256),
+{",".join(steps)},
+f AS (
+  SELECT r, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM e JOIN f USING (r)"""
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = rf"coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": _lloyd_sql(),
     "op12_divergence": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
