@@ -71,7 +71,7 @@ def confirmed(votes: DataFrame, products: DataFrame, order: list[str]) -> DataFr
 
 def catalog_match(goods: DataFrame, products: DataFrame) -> DataFrame:
     """Tenders that a catalogue (code or term for each product) meets: by code where a
-    product has one, else by its word; a code beats a word; a few positions are shown."""
+    product has one, else by its name; a code beats a name; a few positions are shown."""
     places = goods.select("tender_id", "lot_id", "name", "good_code").distinct()
     codes = products.filter("code IS NOT NULL").select("code").distinct()
     terms = products.filter("code IS NULL").select("term").distinct()
@@ -86,9 +86,11 @@ def catalog_match(goods: DataFrame, products: DataFrame) -> DataFrame:
     return placed.groupBy("tender_id").agg(F.max("score").alias("score"), F.count("*").alias("n_positions"), names.alias("shown"))
 
 
-def term_plan(terms: DataFrame, most: int = TERMS) -> DataFrame:
+def term_plan(terms: DataFrame, most: int | None = TERMS) -> DataFrame:
     """The terms to search for, most frequent and longest first, and how many the limit cuts."""
     n = terms.filter(F.length("term").between(*TERM_CHARS)).groupBy("term").agg(F.count("*").alias("n"))
+    if most is None:
+        return n.withColumn("cut", F.lit(0).cast("long"))
     kept = n.orderBy(F.desc("n"), F.desc(F.length("term")), "term").limit(most)
     return kept.crossJoin(F.broadcast(n.agg(F.greatest(F.lit(0), F.count("*") - most).alias("cut"))))
 

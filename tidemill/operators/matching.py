@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as tx
+from tidemill.operators.patterns import contained
 from tidemill.operators.search import under
 
 KEYWORD, REGION, BUDGET, CURRENCY = 60.0, 20.0, 15.0, 5.0
@@ -45,16 +46,26 @@ def by_code(goods: DataFrame, codes: DataFrame, lengths=None) -> DataFrame:
     return own.join(codes, "code")
 
 
-def by_name(goods: DataFrame, terms: DataFrame) -> DataFrame:
-    """Goods whose name has a term: each distinct name and term is compared once.
+def by_name(goods: DataFrame, terms: DataFrame, starts: bool = False) -> DataFrame:
+    """Goods whose name has a term in any spelling, or has it where a word starts."""
+    return goods.join(contained(goods, terms, starts), "name")
 
-    Names are split into words first, so equal words meet by an equi-join and no
-    pair without a common word is made.
+
+def by_product(tenders: DataFrame, goods: DataFrame, products: DataFrame) -> DataFrame:
+    """product_id, tender_id and how they match: "code" where a good's code starts with
+    one of the product's; "name" where a product without codes has its name or a keyword
+    at the start of a word of a good's or the tender's name.
+
+    Tenders come as tender_id and name, products as product_id, codes and terms (arrays).
+    Distinct codes and terms are looked for once, then dealt to their products.
     """
-    names = goods.select("name").distinct()
-    words = names.select("name", F.explode(F.array_distinct(F.split(tx.fold(F.col("name")), " "))).alias("word"))
-    hits = words.join(terms.select("term", tx.fold(F.col("term")).alias("word")), "word").select("name", "term").distinct()
-    return goods.join(hits, "name")
+    codes = products.select("product_id", F.explode("codes").alias("code"))
+    coded = by_code(goods.select("tender_id", "good_code").distinct(), codes.select("code").distinct()).select("tender_id", "code").distinct()
+    own = products.filter(F.size("codes") < 1).select("product_id", F.explode("terms").alias("term"))
+    names = tenders.select("tender_id", "name").union(goods.select("tender_id", "name")).distinct()
+    named = by_name(names, own.select("term").distinct(), starts=True).select("tender_id", "term").distinct()
+    by = lambda hits, of, key, how: of.join(hits, key).select("product_id", "tender_id", F.lit(how).alias("how"))
+    return by(coded, codes, "code", "code").union(by(named, own, "term", "name")).distinct()
 
 
 def attributed(goods: DataFrame, products: DataFrame, keys: list[str], least: float = 0.05) -> DataFrame:

@@ -261,9 +261,9 @@ def requirement_rules(spark, sf_dir):
 
 @query("""
 c AS (SELECT DISTINCT lpad(p_size::VARCHAR, 2, '0') || '.' || upper(p_type[1:2]) AS code FROM part WHERE p_partkey % 3 > 0),
-w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS term FROM part WHERE p_partkey % 3 = 0),
+w AS (SELECT DISTINCT unnest([p_name, split_part(p_name, ' ', 1)]) AS term FROM part WHERE p_partkey % 3 = 0),
 g AS (SELECT DISTINCT tender_id, lot_id, name, good_code FROM goods),
-h AS (SELECT tender_id, lot_id, name, 100 AS score FROM g JOIN c ON starts_with(good_code, code) UNION ALL SELECT tender_id, lot_id, name, 60 FROM g JOIN w ON list_contains(string_split(lower(name), ' '), lower(term))),
+h AS (SELECT tender_id, lot_id, name, 100 AS score FROM g JOIN c ON starts_with(good_code, code) UNION ALL SELECT tender_id, lot_id, name, 60 FROM g JOIN w ON contains(lower(name), lower(term))),
 b AS (SELECT tender_id, lot_id, name, max(score) AS score FROM h GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY score DESC, lot_id, name) AS n FROM b)
 SELECT tender_id, max(score) AS score, count(*) AS n_positions, string_agg(name, ', ' ORDER BY n) FILTER (WHERE n <= 6) AS shown FROM r GROUP BY 1""")
@@ -271,8 +271,8 @@ def catalog_match(spark, sf_dir):
     """A catalogue of coded and codeless products against all tenders."""
     p = table(spark, sf_dir, "part")
     code = F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."), F.upper(F.substring("p_type", 1, 2)))
-    products = p.select(F.when(F.col("p_partkey") % 3 > 0, code).alias("code"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term"))
-    return op.catalog_match(goods(spark, sf_dir), products)
+    terms = F.explode(F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1))))
+    return op.catalog_match(goods(spark, sf_dir), p.select(F.when(F.col("p_partkey") % 3 > 0, code).alias("code"), terms.alias("term")))
 
 
 @query("""

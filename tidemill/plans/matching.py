@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.functions.text import variants_of
+from tidemill.operators import company, patterns, retrieval, search
 from tidemill.operators import matching as op
-from tidemill.operators import retrieval, search
 from tidemill.plans.registry import query
 from tidemill.plans.search import OPEN
 from tidemill.sources.tables import AS_OF, goods, table, tenders
@@ -69,30 +70,82 @@ def position_match(spark, sf_dir):
     return op.attributed(goods(spark, sf_dir), _codes(spark, sf_dir), ["tender_id", "lot_id"])
 
 
-TERMS = ("ring", "bolt", "widget", "gear", "missing")
+#: Of several words, part of a word, in the other alphabet, and nowhere.
+TERMS = ("ring", "bolt", "widget", "gear", "blue bolt", "ed wid", "izm", "ринг", "gear ring", "missing", "o")
+_SPELLED = f"s(term, spelling) AS (VALUES {', '.join(str((t, v)) for t in TERMS for v in variants_of(t))})"
 
 
-@query(f"""
-t AS (SELECT unnest({list(TERMS)}) AS term)
+@query(f"""{_SPELLED},
+h AS (SELECT DISTINCT term, name FROM s JOIN (SELECT DISTINCT name FROM goods) ON contains(lower(name), spelling))
 SELECT term, count(DISTINCT tender_id) AS n_tenders, count(g.name) AS n_positions
-FROM t LEFT JOIN goods g ON list_contains(string_split(lower(g.name), ' '), term) GROUP BY 1""")
+FROM (SELECT DISTINCT term FROM s) LEFT JOIN h USING (term) LEFT JOIN goods g ON g.name = h.name GROUP BY 1""")
 def pattern_demand(spark, sf_dir):
-    """Demand for each term, those without any staying."""
+    """Demand for each term in all its spellings, those without any staying."""
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
     hits = op.by_name(goods(spark, sf_dir), terms).groupBy("term").agg(F.countDistinct("tender_id").alias("n_tenders"), F.count("*").alias("n_positions"))
     return terms.join(hits, "term", "left").na.fill(0)
 
 
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
 @query(f"""
-SELECT DISTINCT g.tender_id, CASE WHEN {OPEN} THEN 1 ELSE 0 END AS is_open FROM goods g JOIN tenders t ON t.id = g.tender_id
-WHERE list_has_any(string_split(lower(g.name), ' '), ['ring', 'gear']) OR contains(lower(t.company_name), '0009')""")
+n AS (SELECT name, count(*) AS positions, {_GRAMS.format('name')} AS a FROM goods GROUP BY name),
+t AS (SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 2) AS term, {_GRAMS.format("p_type || ' ' || split_part(p_name, ' ', 2)")} AS b FROM part),
+j AS (SELECT term, name, positions, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS likeness FROM n, t)
+SELECT term, name, positions, round(likeness, 9) AS likeness FROM j WHERE likeness >= 0.3""")
+def alike_names(spark, sf_dir):
+    """Names of goods that are like a catalogue term by trigrams of words, 0.3 at least."""
+    positions = goods(spark, sf_dir).groupBy("name").agg(F.count("*").alias("positions"))
+    terms = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("term"))
+    found = patterns.alike(positions, terms)
+    return found.join(positions, "name").select("term", "name", "positions", F.round("likeness", 9).alias("likeness"))
+
+
+CATALOG_TERMS = """
+term AS (SELECT term, count(*) AS n FROM (
+  SELECT lower(p_name) AS term FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT '#0000' || (c_custkey % 1000) FROM customer WHERE c_custkey % 100 = 7) GROUP BY 1 HAVING length(term) BETWEEN 3 AND 25)"""
+
+
+def _catalog_terms(spark, sf_dir):
+    """Names and keywords of the products without codes, and what some buyers' names have."""
+    p = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.lower("p_name").alias("name"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("word"))
+    buyers = table(spark, sf_dir, "customer").filter("c_custkey % 100 = 7").select(F.concat(F.lit("#0000"), (F.col("c_custkey") % 1000).cast("string")).alias("term"))
+    return company.term_plan(p.select(F.explode(F.array("name", "word")).alias("term")).unionByName(buyers), most=None)
+
+
+@query(f"""{CATALOG_TERMS},
+n AS (SELECT g.tender_id, g.name AS position FROM goods g JOIN tenders t ON t.id = g.tender_id WHERE {OPEN}
+  UNION SELECT id, company_name FROM tenders t WHERE {OPEN}),
+h AS (SELECT DISTINCT position FROM (SELECT DISTINCT position FROM n) JOIN term ON contains(lower(position), term))
+SELECT tender_id, position FROM n JOIN h USING (position)""")
 def catalog_text_match(spark, sf_dir):
-    """Hits by goods and by tender, united and fetched by id."""
-    terms = spark.createDataFrame([("ring",), ("gear",)], "term string")
-    t, g = tenders(spark, sf_dir), goods(spark, sf_dir)
-    own = t.filter(F.contains("company_name", F.lit("0009"))).select(F.col("id").alias("tender_id"))
-    ids = op.by_name(g, terms).select("tender_id").union(own.join(g.select("tender_id"), "tender_id", "left_semi")).distinct()
-    return ids.join(t, F.col("tender_id") == F.col("id")).select("tender_id", F.when(search.is_open(AS_OF), 1).otherwise(0).alias("is_open"))
+    """Open tenders that have a term of the catalogue's plan in the name
+    of a good or in their own (the buyer's stands for it), with what was met, each once."""
+    t = tenders(spark, sf_dir).filter(search.is_open(AS_OF))
+    g = goods(spark, sf_dir).join(t.select(F.col("id").alias("tender_id")), "tender_id", "left_semi")
+    names = g.select("tender_id", "name").union(t.select("id", "company_name")).distinct()
+    return op.by_name(names, _catalog_terms(spark, sf_dir)).select("tender_id", F.col("name").alias("position")).distinct()
+
+
+@query("""
+p AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 3 > 0 THEN [lpad(p_size::VARCHAR, 2, '0') || '.' || upper(p_type[1:2])] ELSE [] END AS codes,
+  [p_name, split_part(p_name, ' ', 2)] AS terms FROM part),
+c AS (SELECT DISTINCT tender_id, code FROM (SELECT DISTINCT unnest(codes) AS code FROM p) JOIN goods ON starts_with(good_code, code)),
+n AS (SELECT DISTINCT name, term FROM (SELECT DISTINCT name FROM goods), (SELECT DISTINCT unnest(terms) AS term FROM p WHERE len(codes) = 0) WHERE regexp_matches(lower(name), '\\b' || term)),
+h AS (
+  SELECT product_id, tender_id, 'code' AS how FROM (SELECT product_id, unnest(codes) AS code FROM p) JOIN c USING (code)
+  UNION SELECT product_id, tender_id, 'name' FROM (SELECT product_id, unnest(terms) AS term FROM p WHERE len(codes) = 0) JOIN n USING (term) JOIN (SELECT DISTINCT tender_id, name FROM goods) USING (name))
+SELECT product_id, how, count(*) AS tenders, min(tender_id) AS earliest FROM h GROUP BY ALL""")
+def product_match(spark, sf_dir):
+    """What tenders each product meets, by code or, without one, by its name."""
+    p = table(spark, sf_dir, "part")
+    code = F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("."), F.upper(F.substring("p_type", 1, 2)))
+    codes = F.when(F.col("p_partkey") % 3 > 0, F.array(code)).otherwise(F.array().cast("array<string>"))
+    products = p.select(F.col("p_partkey").alias("product_id"), codes.alias("codes"), F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("terms"))
+    named = tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), F.col("company_name").alias("name"))
+    return op.by_product(named, goods(spark, sf_dir), products).groupBy("product_id", "how").agg(F.count("*").alias("tenders"), F.min("tender_id").alias("earliest"))
 
 
 COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
