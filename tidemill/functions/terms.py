@@ -24,6 +24,53 @@ DOCUMENT_WORDS = {
 NEGATIONS = ("not required", "talab qilinmaydi", "не требуется")
 
 
+# Beginnings of words that stand for one another, in two languages and both alphabets.
+SYNONYMS = {
+    "kafolat": ["kafolat", "кафолат", "гарант"],
+    "muddat": ["muddat", "муддат", "срок"],
+    "tolov": ["lov", "tolov", "тулов", "оплат", "платеж"],
+    "avans": ["avans", "аванс", "предоплат", "oldindan", "олдиндан"],
+    "yetkazish": ["yetkazib", "етказиб", "поставк", "доставк"],
+    "sertifikat": ["sertifikat", "сертификат"],
+    "litsenziya": ["litsenziya", "лицензи"],
+    "shartnoma": ["shartnoma", "шартнома", "договор", "контракт"],
+    "narx": ["narx", "нарх", "цена", "стоимост"],
+    "tovar": ["tovar", "товар", "продукц", "mahsulot", "махсулот"],
+    "sifat": ["sifat", "сифат", "качеств"],
+    "talab": ["talab", "талаб", "требован"],
+    "hujjat": ["hujjat", "хужжат", "документ"],
+    "ish": ["ishlar", "ишлар", "работ"],
+    "xizmat": ["xizmat", "хизмат", "услуг"],
+    "zakalat": ["zakalat", "закалат", "залог", "обеспечен"],
+    "jarima": ["jarima", "жарима", "штраф", "пеня"],
+    "muvofiq": ["muvofiq", "мувофик", "соответств"],
+    "summa": ["summa", "сумма", "қиймат", "qiymat"],
+    "tajriba": ["tajriba", "тажриб", "опыт", "стаж"],
+}
+_FOLDED_SYNONYMS = {variants_of(w)[0]: sorted(variants_of(x)[0] for x in group) for group in SYNONYMS.values() for w in group}
+PREFIX_LENGTHS = sorted({len(p) for p in _FOLDED_SYNONYMS})
+
+
+def synonyms(word: str) -> list[str]:
+    """Beginnings that may stand for a folded word: the group of its longest known beginning."""
+    known = max((p for p in _FOLDED_SYNONYMS if word.startswith(p)), key=len, default=None)
+    return _FOLDED_SYNONYMS[known] if known else []
+
+
+def term_groups(question: str | None) -> list[list[str]]:
+    """For each word of two letters or more its alternatives: spellings in both
+    alphabets, and beginnings ("x:*") that stand for it. Equal groups count once."""
+    words = (w for w in re.split(r"\W+", variants_of(question)[0] if (question or "").strip() else "") if len(w) > 1)
+    groups = ([*(v for v in variants_of(w) if not re.search(r"\W", v)), *(f"{p}:*" for p in synonyms(variants_of(w)[0]))] for w in words)
+    return [list(g) for g in dict.fromkeys(tuple(dict.fromkeys(g)) for g in groups) if g]
+
+
+def boolean_query(question: str | None) -> str:
+    """The groups as one expression: all of one or two groups, any of more."""
+    groups = [f"({' | '.join(g)})" if len(g) > 1 else g[0] for g in term_groups(question)]
+    return (" & " if len(groups) <= 2 else " | ").join(groups)
+
+
 def stem(word: str) -> str:
     """A word without one known ending, four letters at least staying."""
     for e in ENDINGS:

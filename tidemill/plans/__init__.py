@@ -1,6 +1,6 @@
 """Registered queries over the synthetic tables, with their SQL."""
 
-from tidemill.plans import company, decisions, ledger, matching, more, search, stats  # noqa: F401
+from tidemill.plans import company, decisions, ledger, lexical, matching, more, search, stats  # noqa: F401
 from tidemill.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
