@@ -112,22 +112,6 @@ def saved_search_counts(spark, sf_dir):
     return s.join(t, "word", "left").groupBy("word").agg(F.count("tender_id").alias("n"))
 
 
-@query("""
-f AS (SELECT left(good_code, 5) AS code, count(*) AS n, count(DISTINCT name) AS names FROM goods GROUP BY 1),
-a AS (SELECT *, row_number() OVER (ORDER BY n DESC, code) AS ra, row_number() OVER (ORDER BY names DESC, code) AS rb FROM f)
-SELECT code, round(1.0 / (60 + ra) + 1.0 / (60 + rb) + CASE WHEN left(code, 1) = '1' THEN 1.0 / 61 ELSE 0 END + least(n, 50) * 1e-5, 9) AS score
-FROM a ORDER BY score DESC, code LIMIT 50""")
-def code_suggestion(spark, sf_dir):
-    """Two rankings of the whole code dictionary fused, with a prior for its
-    family; only the list of the best 50 is cut."""
-    f = goods(spark, sf_dir).groupBy(F.substring("good_code", 1, 5).alias("code")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
-    # every code is in both lists, so their full outer join is f itself
-    ranked = f.withColumn("ra", F.row_number().over(Window.orderBy(F.desc("n"), "code"))).withColumn("rb", F.row_number().over(Window.orderBy(F.desc("names"), "code")))
-    prior = F.when(F.col("code").startswith("1"), 1.0 / 61).otherwise(0.0)
-    score = 1.0 / (60 + F.col("ra")) + 1.0 / (60 + F.col("rb")) + prior + F.least("n", F.lit(50)) * 1e-5
-    return ranked.select("code", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "code").limit(50)
-
-
 @query("SELECT doc_id, CASE WHEN quality = 1 OR (quality IS NULL AND n_chars >= 3000) THEN 1 ELSE 0 END AS trusted FROM documents LEFT JOIN labels USING (doc_id)", views=False)
 def trusted_gate(spark, sf_dir):
     """Approved, or sure enough and not rejected."""
