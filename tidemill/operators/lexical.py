@@ -17,18 +17,21 @@ from tidemill.functions import text as tx
 
 #: What a place in a text weighs.
 WEIGHT = 0.1
+#: Words met by questions that are broadcast to the postings; more are joined by a shuffle.
+FEW_MET = 200_000
 
 
-def alternatives(questions: DataFrame) -> DataFrame:
-    """query, groups (their number), grp, word and prefix (whether it is a beginning), from query and question."""
+def alternatives(questions: DataFrame, carry: list[str]) -> DataFrame:
+    """query, carry, groups (their number), grp, word and prefix (whether it is a
+    beginning), from query and question."""
 
     @F.pandas_udf("array<array<string>>")
     def parsed(texts: pd.Series) -> pd.Series:
         return texts.map(tm.term_groups)
 
-    rows = questions.select("query", parsed("question").alias("g")).select("query", F.size("g").alias("groups"), F.posexplode("g").alias("grp", "words"))
-    word = F.col("word")
-    return rows.select("query", "groups", "grp", F.explode("words").alias("word")).select("query", "groups", "grp", F.regexp_replace(word, r":\*$", "").alias("word"), word.endswith(":*").alias("prefix"))
+    rows = questions.select("query", *carry, parsed("question").alias("_parsed")).select("query", *carry, F.size("_parsed").alias("groups"), F.posexplode("_parsed").alias("grp", "words"))
+    word, own = F.col("word"), ["query", *carry, "groups", "grp"]
+    return rows.select(*own, F.explode("words").alias("word")).select(*own, F.regexp_replace(word, r":\*$", "").alias("word"), word.endswith(":*").alias("prefix"))
 
 
 def postings(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -50,20 +53,30 @@ def density(hits: Column) -> Column:
     return F.aggregate(hits, zero, step)["sum"]
 
 
-def search(texts: DataFrame, questions: DataFrame, keys: list[str], k: int, text_col: str = "text") -> DataFrame:
+def search(texts: DataFrame, questions: DataFrame, keys: list[str], k: int, text_col: str = "text", within: str | None = None, few: int = FEW_MET) -> DataFrame:
     """The k best texts of each question: query, keys, score and rank; ties by the keys.
 
-    A text's places are brought together, never those of more texts.
+    ``within`` names a column of both: a question is asked among the texts of its own
+    value only, and no others are read further. A text's places are brought together,
+    never those of more texts. What questions meet of the vocabulary is looked up first;
+    up to ``few`` words of it come over the driver and are broadcast.
     """
-    index, asked = postings(texts, keys, text_col), alternatives(questions)
+    spark, group = texts.sparkSession, [within] if within else []
+    if within:
+        texts = texts.join(questions.select(within).distinct(), within, "left_semi")
+    index, asked = postings(texts, [*keys, *group], text_col), alternatives(questions, group)
     vocabulary = index.select("token").distinct()
     whole = vocabulary.join(asked.filter("NOT prefix").withColumnRenamed("word", "token"), "token")
     heads = vocabulary.select("token", F.explode(F.array(*[F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in tm.PREFIX_LENGTHS])).alias("word"))
     begun = heads.join(asked.filter("prefix"), "word")
     mask = F.when(F.col("groups") > 2, F.lit(1)).otherwise(F.col("grp") + 1).cast("long")
-    met = whole.select("token", "query", "groups", mask.alias("mask")).union(begun.select("token", "query", "groups", mask.alias("mask")))
-    met = met.groupBy("token", "query", "groups").agg(F.bit_or("mask").alias("mask"))
-    hits = index.join(met, "token").groupBy("query", "groups", *keys).agg(F.array_sort(F.collect_list(F.struct("pos", "mask"))).alias("hits"))
+    columns = ["token", *group, "query", "groups"]
+    met = whole.select(*columns, mask.alias("mask")).union(begun.select(*columns, mask.alias("mask")))
+    met = met.groupBy(*columns).agg(F.bit_or("mask").alias("mask"))
+    rows = met.limit(few + 1).collect()
+    if len(rows) <= few:
+        met = F.broadcast(spark.createDataFrame(rows, met.schema))
+    hits = index.join(met, ["token", *group]).groupBy("query", "groups", *keys).agg(F.array_sort(F.collect_list(F.struct("pos", "mask"))).alias("hits"))
     score = F.when(F.col("groups") == 2, density(F.col("hits"))).otherwise(F.size("hits").cast("double")) * WEIGHT
     rated = hits.select("query", *keys, F.round(score, 9).alias("score")).filter("score > 0")
     order = Window.partitionBy("query").orderBy(F.desc("score"), *keys)
