@@ -1,8 +1,8 @@
 """Ranked full-text search for a set of questions on a positional inverted index.
 
 A question is groups of alternatives (functions.terms.term_groups): one or two groups
-must all be met, of more any. Alternatives meet the index's vocabulary first, and only
-postings of the words they met are read. No question meets a text without a common word.
+must all be met, of more any. Alternatives meet postings by the word or its beginning,
+and no question meets a text without a common word.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from tidemill.functions import text as tx
 
 #: What a place in a text weighs.
 WEIGHT = 0.1
-#: Words met by questions that are broadcast to the postings; more are joined by a shuffle.
-FEW_MET = 200_000
+#: Alternatives of all questions that are broadcast to the postings; more are joined by a shuffle.
+FEW = 200_000
 
 
 def alternatives(questions: DataFrame, carry: list[str]) -> DataFrame:
@@ -53,30 +53,36 @@ def density(hits: Column) -> Column:
     return F.aggregate(hits, zero, step)["sum"]
 
 
-def search(texts: DataFrame, questions: DataFrame, keys: list[str], k: int, text_col: str = "text", within: str | None = None, few: int = FEW_MET) -> DataFrame:
+def search(texts: DataFrame, questions: DataFrame, keys: list[str], k: int, text_col: str = "text", within: str | None = None, few: int = FEW) -> DataFrame:
     """The k best texts of each question: query, keys, score and rank; ties by the keys.
 
     ``within`` names a column of both: a question is asked among the texts of its own
     value only, and no others are read further. A text's places are brought together,
-    never those of more texts. What questions meet of the vocabulary is looked up first;
-    up to ``few`` words of it come over the driver and are broadcast.
+    never those of more texts. Up to ``few`` alternatives of all questions come over the
+    driver and are broadcast, so that texts are read once and no posting is shuffled that
+    nobody asks for; more are joined by a shuffle.
     """
     spark, group = texts.sparkSession, [within] if within else []
     if within:
         texts = texts.join(questions.select(within).distinct(), within, "left_semi")
     index, asked = postings(texts, [*keys, *group], text_col), alternatives(questions, group)
-    vocabulary = index.select("token").distinct()
-    whole = vocabulary.join(asked.filter("NOT prefix").withColumnRenamed("word", "token"), "token")
-    heads = vocabulary.select("token", F.explode(F.array(*[F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in tm.PREFIX_LENGTHS])).alias("word"))
-    begun = heads.join(asked.filter("prefix"), "word")
     mask = F.when(F.col("groups") > 2, F.lit(1)).otherwise(F.col("grp") + 1).cast("long")
-    columns = ["token", *group, "query", "groups"]
-    met = whole.select(*columns, mask.alias("mask")).union(begun.select(*columns, mask.alias("mask")))
-    met = met.groupBy(*columns).agg(F.bit_or("mask").alias("mask"))
-    rows = met.limit(few + 1).collect()
+    own = ["prefix", "word", *group, "query", "groups"]
+    asked = asked.select(*own, mask.alias("mask")).groupBy(*own).agg(F.bit_or("mask").alias("mask"))
+    rows = asked.limit(few + 1).collect()
     if len(rows) <= few:
-        met = F.broadcast(spark.createDataFrame(rows, met.schema))
-    hits = index.join(met, ["token", *group]).groupBy("query", "groups", *keys).agg(F.array_sort(F.collect_list(F.struct("pos", "mask"))).alias("hits"))
+        met = F.broadcast(spark.createDataFrame(rows, asked.schema))
+        lengths = sorted({len(r["word"]) for r in rows if r["prefix"]})
+    else:
+        met, lengths = asked, tm.PREFIX_LENGTHS
+    # a word is asked for as a whole, and by its beginnings where there are such
+    ways = [F.struct(F.lit(False).alias("prefix"), F.col("token").alias("word"))]
+    ways += [F.struct(F.lit(True).alias("prefix"), F.when(F.length("token") >= n, F.substring("token", 1, n)).alias("word")) for n in lengths]
+    words = index.select(*keys, *group, "pos", F.explode(F.array(*ways)).alias("way")) if lengths else index.select(*keys, *group, "pos", ways[0].alias("way"))
+    hits = words.select(*keys, *group, "pos", "way.prefix", "way.word").join(met, ["prefix", "word", *group])
+    if lengths:
+        hits = hits.groupBy("query", "groups", *keys, "pos").agg(F.bit_or("mask").alias("mask"))
+    hits = hits.groupBy("query", "groups", *keys).agg(F.array_sort(F.collect_list(F.struct("pos", "mask"))).alias("hits"))
     score = F.when(F.col("groups") == 2, density(F.col("hits"))).otherwise(F.size("hits").cast("double")) * WEIGHT
     rated = hits.select("query", *keys, F.round(score, 9).alias("score")).filter("score > 0")
     order = Window.partitionBy("query").orderBy(F.desc("score"), *keys)
