@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.functions import numbers, terms
+from tidemill.functions import canonical, numbers, terms
+from tidemill.functions.text import FOLD_FROM, FOLD_TO
 from tidemill.operators import stats
 from tidemill.plans.registry import query
 from tidemill.plans.search import OPEN
@@ -224,6 +225,36 @@ def required_documents(spark, sf_dir):
     return d.select("doc_id", F.inline("found"))
 
 
+_STEMS = sorted({stem for ways, void in PLACED.values() for stem in [*void, *(x for way in ways for x in way)]})
+_STEM_ROWS = ", ".join(f"('{stem}', '{s}')" for stem in _STEMS for s in canonical.stem_spellings(stem))
+_GONE = FOLD_FROM[len(FOLD_TO) :] + canonical.APOSTROPHES.replace("'", "''")
+
+
+@query(f"""
+r(kind, way, a, b, void) AS (VALUES {_WAYS}),
+s(stem, spelling) AS (VALUES {_STEM_ROWS}),
+d AS (SELECT doc_id, text, list_filter(range(1, len(c) + 1), lambda i: NOT contains('{_GONE}', lower(c[i]))) AS kept,
+  regexp_replace(translate(lower(text), '{canonical.NEAR_FROM}{FOLD_FROM[: len(FOLD_TO)]}', '{canonical.NEAR_TO}{FOLD_TO}'), '[{_GONE}]', '', 'g') AS t FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents)),
+p AS (SELECT doc_id, stem, spelling, string_split(t, spelling) AS parts FROM d JOIN s ON contains(t, spelling)),
+o AS (SELECT doc_id, stem, length(spelling) AS n, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(spelling))) AS pos FROM p),
+n AS (
+  SELECT doc_id, kind, way, b, void, f.pos, f.n, min(struct_pack(gap := abs(s.pos - f.pos), pos := s.pos, n := s.n)) FILTER (s.pos IS NOT NULL) AS near
+  FROM r JOIN o f ON f.stem = a LEFT JOIN (SELECT doc_id AS doc, stem AS other, n, pos FROM o) s ON doc = doc_id AND other = b AND abs(s.pos - f.pos) <= {terms.REACH} GROUP BY ALL),
+h AS (SELECT *, least(pos, coalesce(near.pos, pos)) AS low, greatest(pos + n, coalesce(near.pos + near.n, 0)) AS high FROM n WHERE b IS NULL OR near IS NOT NULL),
+k AS (
+  SELECT h.*, row_number() OVER (PARTITION BY doc_id, kind ORDER BY way, pos, n) AS place FROM h JOIN d USING (doc_id)
+  WHERE void IS NULL OR NOT EXISTS (SELECT 1 FROM s WHERE stem = void AND contains(substr(t, greatest(0, low - {terms.AROUND}) + 1, high + {terms.AROUND} - greatest(0, low - {terms.AROUND})), spelling))),
+e AS (SELECT doc_id, kind, b, low, high, text, kept, kept[greatest(0, low - {canonical.SHOWN}) + 1] AS f, kept[least(len(kept), high + {canonical.SHOWN} + 1)] AS l FROM k JOIN d USING (doc_id) WHERE place = 1)
+SELECT doc_id, kind, (kept[low + 1] - 1)::INT AS "start", kept[high]::INT AS "end", CASE WHEN b IS NULL THEN 70 ELSE 90 END AS confidence,
+  CASE WHEN f > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, f, l - f + 1), '\\s+', ' ', 'g')) || CASE WHEN l < length(text) THEN '…' ELSE '' END AS evidence
+FROM e""", views=False)
+def document_evidence(spark, sf_dir):
+    """What kinds of documents each raw text asks for in any alphabet, and the
+    raw text that says so, by a map from the canonical text back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", canonical.evidence(F.col("text"), PLACED).alias("found"))
+    return d.select("doc_id", F.inline("found"))
+
+
 @query()
 def message_packing(spark, sf_dir):
     """Turns of a conversation packed in order into messages of a size limit."""
