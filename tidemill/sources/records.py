@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,8 +31,9 @@ HEADERS = {
 
 class PagedJson(DataSource):
     """Format "paged_json": landed pages of a paged interface, page_<n>.json under
-    path, a partition for each page. Options: path, pages, and rows, the field
-    with the records. Reading stops at no page, so missing pages fail."""
+    path, a folder or its URI, a partition for each page. Options: path, pages, and rows,
+    the field with the records. Reading stops at no page, so missing pages fail;
+    ``sources.paging`` finds the end itself."""
 
     @classmethod
     def name(cls) -> str:
@@ -56,9 +58,11 @@ class _PageReader(DataSourceReader):
         return [_Page(n) for n in range(self.pages)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(f"{self.path}/page_{partition.value}.json", encoding="utf-8") as f:
-            for k, record in enumerate(json.load(f)[self.rows]):
-                yield partition.value, k, json.dumps(record, sort_keys=True, ensure_ascii=False)
+        system, path = fs.FileSystem.from_uri(f"{self.path}/page_{partition.value}.json")
+        with system.open_input_stream(path) as f:
+            found = json.loads(f.read())[self.rows]
+        for k, record in enumerate(found):
+            yield partition.value, k, json.dumps(record, sort_keys=True, ensure_ascii=False)
 
 
 def without_repeats(pages: DataFrame) -> DataFrame:
