@@ -159,7 +159,7 @@ def validated(rows: DataFrame, categories: DataFrame) -> DataFrame:
 
     first = F.row_number().over(Window.partitionBy(F.lower(F.trim("name"))).orderBy("line"))
     known = categories.select(F.col("category").alias("known")).distinct()
-    r = rows.withColumn("_n", first).join(F.broadcast(known), F.col("category") == F.col("known"), "left")
+    r = rows.withColumn("_n", first).join(known, F.col("category") == F.col("known"), "left")
     bad = lambda c: (F.coalesce(F.trim(c), F.lit("")) != "") & (parse_number(F.col(c)).isNull() | (parse_number(F.col(c)) < 0))
     blank = F.coalesce(F.trim("name"), F.lit("")) == ""
     errors = F.array(
