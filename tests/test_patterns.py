@@ -49,3 +49,15 @@ def test_no_rows(spark):
     names, terms = spark.createDataFrame([], "name string"), spark.createDataFrame([("x",)], "term string")
     assert patterns.contained(names, terms).count() == patterns.alike(names, terms).count() == 0
     assert patterns.contained(terms.withColumnRenamed("term", "name"), names.withColumnRenamed("name", "term")).count() == 0
+
+
+def test_longest_term_picks_the_product(spark):
+    products = [(3, ["kompyuter", None, " "]), (2, ["kompyuter sichqonchasi", "sichqoncha"]), (1, ["kompyuter", "kompyuter"]), (4, ["stol"]), (5, None), (9, ["насос"])]
+    names = ["Kompyuter sichqonchasi qora", "КОМПЬЮТЕР", "Kompyuter", "престол", "Столб", None, "", "nasoslar", "Kompyuter", "umumiy"]
+    df = spark.createDataFrame([(n, "x", 7) for n in names], "name string, term string, product_id int")
+    got = {r.name: (r.product_id, r.term) for r in patterns.longest(df, spark.createDataFrame(products, "product_id int, terms array<string>")).collect()}
+    # "стол" begins "Столб", as word starts are all that is asked
+    want = {"Kompyuter sichqonchasi qora": (2, "kompyuter sichqonchasi"), "Kompyuter": (1, "kompyuter"), "Столб": (4, "stol"), "nasoslar": (9, "насос")}
+    assert {k: v for k, v in got.items() if k != "КОМПЬЮТЕР"} == want
+    none = spark.createDataFrame([], "product_id int, terms array<string>")
+    assert patterns.longest(df, none).count() == 0

@@ -55,3 +55,17 @@ def alike(names: DataFrame, terms: DataFrame, least: float = 0.3) -> DataFrame:
     common = grams(names, "name").join(grams(terms, "term"), "gram").groupBy("name", "term", "n_name", "n_term").agg(F.count("*").alias("n"))
     rated = common.withColumn("likeness", F.col("n") / (F.col("n_name") + F.col("n_term") - F.col("n")))
     return rated.filter(F.col("likeness") >= least).select("name", "term", "likeness")
+
+
+def longest(names: DataFrame, products: DataFrame) -> DataFrame:
+    """name, product_id and term: of the products (product_id, terms) that have a term at
+    the beginning of a word of the name, the one with the longest term as it is written;
+    of equals the smallest product, then the first term by letters. Names without one are
+    left out, and null, blank or repeated terms and names change nothing.
+
+    A term is settled to its smallest product before it meets any name, so a term that
+    most products share is one row there, and each name keeps only its best.
+    """
+    owner = products.select("product_id", F.explode("terms").alias("term")).groupBy("term").agg(F.min("product_id").alias("product_id"))
+    best = F.min(F.struct((-F.length("term")).alias("_shorter"), "product_id", "term")).alias("best")
+    return contained(names, owner, starts=True).join(owner, "term").groupBy("name").agg(best).select("name", "best.product_id", "best.term")
