@@ -282,15 +282,18 @@ def candidates(shared: DataFrame, points: DataFrame) -> DataFrame:
     rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         held: list[tuple[int, int, bytes]] = []
         token, done, found = None, set(), []
 
         def close() -> None:
-            nodes = tuple(x[0] for x in held)
-            if len(nodes) > 1 and nodes not in done:  # tokens of copies have the same nodes over and over
+            nodes = [x[0] for x in held]
+            key = xxh3_128_digest(np.array(nodes, np.int64).tobytes())
+            if len(nodes) > 1 and key not in done:  # tokens of copies have the same nodes over and over
                 if len(done) > 100_000:
                     done.clear()
-                done.add(nodes)
+                done.add(key)
                 made = np.array([unpacked(x[2]) for x in held])
                 found.extend((nodes[i], nodes[j]) for i, j in join_points(made, np.array([x[1] for x in held])))
             held.clear()
