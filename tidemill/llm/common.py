@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -61,7 +62,8 @@ def _row(carry: list[str]) -> Column:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over batches of BATCH_ROWS; a task gives Arrow's free memory back as it ends."""
+    """mapInArrow over batches of BATCH_ROWS; a task gives free memory back as it ends, as
+    its process waits beside others for the next one."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH_ROWS)) <= BATCH_ROWS:
         conf.set(_BATCH_ROWS, str(BATCH_ROWS))
@@ -69,6 +71,9 @@ def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterable[
     def task(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
 
     return df.mapInArrow(task, schema)
 
