@@ -223,3 +223,29 @@ def csls_best_code(spark, sf_dir):
     codes = e.filter("vec_id % 50 = 0")
     bias = retrieval.hub_bias(retrieval.nearest(e, codes, 10).withColumn("cos", F.round("cos", 6))).withColumn("bias", F.round("bias", 6))
     return retrieval.best_corrected(e, codes, bias).select("vec_id", "code", F.round("adjusted", 6).alias("adjusted"))
+
+
+_VERSIONED = """
+a AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x, l.old FROM embeddings, unnest(range(1, 65)) AS t(i), (VALUES (TRUE), (FALSE)) AS l(old)),
+s AS (SELECT old, i, sum(floor(x * 1048576)::BIGINT) AS s, count(*) AS n FROM a WHERE NOT old OR vec_id % 10 < 9 GROUP BY 1, 2),
+v AS (SELECT old, md5(max(n) || ':' || string_agg(s, ',' ORDER BY i)) AS version FROM s GROUP BY 1 HAVING max(n) >= 50),
+c AS (SELECT old, vec_id, list(x - s.s::DOUBLE / n / 1048576 ORDER BY i) AS embedding FROM a JOIN s USING (old, i) GROUP BY 1, 2),"""
+
+
+@query(f"""{_VERSIONED}
+p AS (SELECT q.old, q.vec_id AS query, e.vec_id AS near, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS cos FROM c q JOIN c e ON q.old = e.old AND q.vec_id <> e.vec_id
+  WHERE q.vec_id % 50 = 0 AND q.old = (q.vec_id % 100 = 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cos DESC, near) AS rank FROM p)
+SELECT query AS vec_id, version, round(avg(cos), 4) AS bias, old AS stale FROM r JOIN v USING (old) WHERE rank <= 10 GROUP BY ALL""", views=False)
+def stale_bias(spark, sf_dir):
+    """Hub bias by the version of the centroid that it was made with. Every
+    second of the query set was done before the last tenth of the vectors came, and is stale."""
+    e = table(spark, sf_dir, "embeddings")
+    made = []
+    for some, mine in ((e.filter("vec_id % 10 < 9"), "vec_id % 100 = 0"), (e, "vec_id % 100 <> 0")):
+        version = retrieval.centroid_version(some)
+        c = retrieval.centred_by(e, version)
+        near = retrieval.nearest(c, c.filter(f"vec_id % 50 = 0 AND {mine}"), 10).withColumn("cos", F.round("cos", 6))
+        made.append(retrieval.hub_bias(near).join(F.broadcast(version.select("version")), F.lit(True), "left"))
+    found = retrieval.against(made[0].unionByName(made[1]), version)
+    return found.select("vec_id", "version", F.round("bias", 4).alias("bias"), "stale")
