@@ -187,24 +187,34 @@ def rule_patterns(words: str, unit: str) -> tuple[str, str, str]:
     return rf"\b(?:{words}){gap}{{0,{AFTER}}}?{number}", rf"{number}{gap}{{0,{BEFORE}}}?\b(?:{words})", rf"\b(?:{words}){gap}{{0,{AFTER}}}?(_{{3,}})\s*(?:{unit})"
 
 
+def _near_numbers(text: Column) -> Column:
+    """The sentences with a digit or a blank, each with the sign before it: rules match
+    inside one sentence only, so they find there what they find in the whole text."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(r"(?:^|[.!?])[^.!?]*?(?:[0-9]|___)[^.!?]*"), F.lit(0)), "")
+
+
 def _sure(name: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(name).alias("name"), v.alias("value"), F.lit(SURE).alias("confidence")))
+    row = lambda v, n: F.struct(F.lit(name).alias("name"), v.alias("value"), F.lit(SURE).alias("confidence"), (n + 1).alias("place"))
+    return F.transform(values, row)
 
 
-def requirements(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
+def requirements(docs: DataFrame, carry: list[str], text: str = "text", rules: dict[str, tuple[str, str]] = RULES, place: bool = False) -> DataFrame:
     """Rows (carried columns, name, value, confidence, status): what the rules find in a
-    text, each name and value once, blanks without a value to be reviewed, and terms of delivery."""
+    text, each name and value once, blanks without a value to be reviewed, and terms of delivery.
+    With ``place``, its number among the values of the name too, 0 for a blank."""
     found = []
-    for name, (words, unit) in RULES.items():
+    for name, (words, unit) in rules.items():
         after, before, blank = rule_patterns(words, unit)
-        hit = lambda p: F.regexp_extract_all(text, F.lit(f"(?iu){p}"), F.lit(1))
+        hit = lambda p: F.regexp_extract_all("_near", F.lit(f"(?iu){p}"), F.lit(1))
         values = F.array_distinct(F.concat(hit(after), hit(before)))
         found.append(_sure(name, values))
-        empty = F.struct(F.lit(name).alias("name"), F.lit(None).cast("string").alias("value"), F.lit(BLANK).alias("confidence"))
-        found.append(F.when(F.size(hit(blank)) > 0, F.array(empty)).otherwise(F.array().cast("array<struct<name:string,value:string,confidence:double>>")))
+        empty = F.struct(F.lit(name).alias("name"), F.lit(None).cast("string").alias("value"), F.lit(BLANK).alias("confidence"), F.lit(0).alias("place"))
+        found.append(F.when(F.size(hit(blank)) > 0, F.array(empty)).otherwise(F.array().cast("array<struct<name:string,value:string,confidence:double,place:int>>")))
     terms = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b({'|'.join(map(re.escape, INCOTERMS))})\b"), F.lit(1)))
     found.append(_sure("incoterms", terms))
-    rows = docs.filter(F.col(text).isNotNull()).select(*carry, F.explode(F.concat(*found)).alias("r")).select(*carry, "r.*")
+    known = docs.filter(F.col(text).isNotNull()).withColumn("_near", _near_numbers(F.col(text)))
+    rows = known.select(*carry, F.explode(F.concat(*found)).alias("r")).select(*carry, "r.*")
+    rows = rows if place else rows.drop("place")
     return rows.withColumn("status", F.when(F.col("confidence") < REVIEWED, "needs_review").otherwise("extracted"))
 
 

@@ -18,8 +18,9 @@ def _written(c: str) -> Column:
     return F.nullif(own, F.lit(""))
 
 
-def states(items: DataFrame, decisions: DataFrame, salts: int = 16) -> DataFrame:
-    """What decisions in order of seq make of items (item_id, tender_id).
+def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Column | None = None) -> DataFrame:
+    """What decisions in order of seq make of items (item_id, tender_id), which are pending
+    before them or in the state that ``initial`` gives.
 
     A decision (seq, item_id, tender_id, status, corrected, blind) is of one item, or with a
     null item_id of all items of the tender that are pending then. ``corrected`` needs a
@@ -39,9 +40,10 @@ def states(items: DataFrame, decisions: DataFrame, salts: int = 16) -> DataFrame
         F.max(F.struct("seq", "status", "corrected")).alias("_last"),
         F.min(F.when(F.col("blind").isNotNull(), F.struct("seq", "blind"))).alias("_blind"),
     )
-    own = items.select("item_id", "tender_id").join(last, "item_id", "left")
+    first = F.coalesce(F.lit(None) if initial is None else initial, F.lit("pending"))
+    own = items.select("item_id", "tender_id", first.alias("_first")).join(last, "item_id", "left")
     parts = [F.col("tender_id"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int").alias("_salt"), F.col("_last.seq").alias("_seq")]
-    rows = own.select("item_id", *parts, "_last", "_blind", F.lit(None).cast("struct<seq:bigint,status:string>").alias("_bulk"))
+    rows = own.select("item_id", *parts, "_first", "_last", "_blind", F.lit(None).cast("struct<seq:bigint,status:string>").alias("_bulk"))
     bulk = d.filter(F.col("item_id").isNull() & F.col("tender_id").isNotNull() & F.col("status").isin(*BULK_STATES))
     bulk = bulk.select(
         "tender_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.col("seq").alias("_seq"),
@@ -50,7 +52,7 @@ def states(items: DataFrame, decisions: DataFrame, salts: int = 16) -> DataFrame
     # from the latest back, so that the last bulk decision met is the first one after the row
     back = Window.partitionBy("tender_id", "_salt").orderBy(F.desc_nulls_last("_seq"), F.col("_is_bulk").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(bulk, allowMissingColumns=True).withColumn("_next", F.last("_bulk", ignorenulls=True).over(back)).filter("_is_bulk IS NULL")
-    status = F.coalesce(F.col("_last.status"), F.lit("pending"))
+    status = F.coalesce("_last.status", "_first")
     by_bulk = (status == "pending") & F.col("_next").isNotNull()
     return both.select(
         "item_id", "tender_id",
