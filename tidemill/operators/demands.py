@@ -93,12 +93,11 @@ def item_id() -> Column:
 
 def decide(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows after decisions in order, as ``review.states`` has them; what is approved before them isn't pending to bulk ones."""
-    items = rows.withColumn("item_id", item_id())
-    made = states(items, decisions, initial=F.col("status")).filter("decided_by IS NOT NULL")
-    made = made.select("item_id", F.col("status").alias("_status"), F.col("corrected_value").alias("_corrected"))
-    both = items.join(made, "item_id", "left")
-    corrected = F.when(F.col("_status").isNotNull(), F.col("_corrected")).otherwise(F.col("corrected_value"))
-    return both.withColumns({"corrected_value": corrected, "status": F.coalesce("_status", "status")}).select(*rows.columns)
+    own = {c: f"_row_{c}" for c in rows.columns}
+    items = rows.select("tender_id", item_id().alias("item_id"), "status", *[F.col(c).alias(o) for c, o in own.items()])
+    made = states(items, decisions, initial=F.col("status"), carry=tuple(own.values()))
+    decided = F.col("decided_by").isNotNull()
+    return made.select(*[(F.when(decided, F.col(c)).otherwise(F.col(o)) if c in ("status", "corrected_value") else F.col(o)).alias(c) for c, o in own.items()])
 
 
 def trusted(rows: DataFrame, least: float = TRUST) -> DataFrame:

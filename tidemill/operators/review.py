@@ -18,7 +18,7 @@ def _written(c: str) -> Column:
     return F.nullif(own, F.lit(""))
 
 
-def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Column | None = None) -> DataFrame:
+def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """What decisions in order of seq make of items (item_id, tender_id), which are pending
     before them or in the state that ``initial`` gives.
 
@@ -30,9 +30,10 @@ def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Col
     bulk decision comes first, and of single ones the larger row counts.
 
     Returns item_id, tender_id, status, corrected_value, blind_value, decided_by (single,
-    bulk or null) and decided_seq. Only the last single decision of an item and the first
-    bulk one after it can tell, so nothing is folded row by row: single ones are a partial
-    aggregate, and bulk ones meet salted parts of a tender in one sorted pass.
+    bulk or null), decided_seq and the columns to ``carry``. Only the last single decision
+    of an item and the first bulk one after it can tell, so nothing is folded row by row:
+    single ones are a partial aggregate, and bulk ones meet salted parts of a tender in one
+    sorted pass.
     """
     d = decisions.withColumns({"corrected": _written("corrected"), "blind": _written("blind")})
     single = d.filter(F.col("item_id").isNotNull() & F.col("status").isin(*STATES) & ((F.col("status") != "corrected") | F.col("corrected").isNotNull()))
@@ -41,9 +42,9 @@ def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Col
         F.min(F.when(F.col("blind").isNotNull(), F.struct("seq", "blind"))).alias("_blind"),
     )
     first = F.coalesce(F.lit(None) if initial is None else initial, F.lit("pending"))
-    own = items.select("item_id", "tender_id", first.alias("_first")).join(last, "item_id", "left")
+    own = items.select("item_id", "tender_id", first.alias("_first"), F.struct(*carry, F.lit(0).alias("_")).alias("_carry")).join(last, "item_id", "left")
     parts = [F.col("tender_id"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int").alias("_salt"), F.col("_last.seq").alias("_seq")]
-    rows = own.select("item_id", *parts, "_first", "_last", "_blind", F.lit(None).cast("struct<seq:bigint,status:string>").alias("_bulk"))
+    rows = own.select("item_id", *parts, "_first", "_carry", "_last", "_blind", F.lit(None).cast("struct<seq:bigint,status:string>").alias("_bulk"))
     bulk = d.filter(F.col("item_id").isNull() & F.col("tender_id").isNotNull() & F.col("status").isin(*BULK_STATES))
     bulk = bulk.select(
         "tender_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.col("seq").alias("_seq"),
@@ -61,6 +62,7 @@ def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Col
         F.col("_blind.blind").alias("blind_value"),
         F.when(by_bulk, "bulk").when(F.col("_last").isNotNull(), "single").alias("decided_by"),
         F.when(by_bulk, F.col("_next.seq")).otherwise(F.col("_last.seq").cast("long")).alias("decided_seq"),
+        *[F.col(f"_carry.{c}").alias(c) for c in carry],
     )
 
 
