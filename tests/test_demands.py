@@ -106,3 +106,31 @@ def test_log_of_runs(spark):
     calls = spark.createDataFrame([(1, None), (4, "2030-01-01"), (5, "2030-01-01"), (7, "2030-01-01"), (8, "2020-01-01")], "tender_id long, close_at string").withColumn("close_at", F.col("close_at").cast("timestamp"))
     due = demands.due(calls, log, tenders.filter("tender_id = 4"), "2025-01-01")
     assert {r.tender_id for r in due.collect()} == {4, 7} and due.columns == calls.columns
+
+
+def test_rules_begin_words_at_their_edges(spark):
+    """After a letter with a mark a word begins in the query's SQL, and none does in the rules of all alphabets."""
+    from tidemill.operators.company import ASCII_EDGES
+    from tidemill.plans.demands import RULES
+
+    texts = spark.createDataFrame([(1, 1, 'éen mentre token = "49c25'), (2, 2, "en mentre 7 d"), (3, 3, "éFOBé"), (4, 4, "12 m éla")], "tender_id long, doc_id long, text string")
+    found = lambda edges: sorted((r.ref, r.name, r.value) for r in demands.from_rules(texts, RULES, edges).collect())
+    latin = [(1, "delivery_days", "49"), (2, "delivery_days", "7"), (3, "incoterms", "FOB"), (4, "warranty_months", "12")]
+    assert found(ASCII_EDGES) == latin
+    assert found((r"(?U:\b)", r"(?U:\b)")) == latin[1:2]
+
+
+def test_runs_with_marks_before_words_as_in_sql(spark, tmp_path):
+    import os
+
+    from oracle import differences
+
+    from tidemill.plans import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    for name in os.listdir(sf):
+        if not name.startswith("documents"):
+            os.symlink(f"{sf}/{name}", tmp_path / name)
+    texts = [(1, 'éen mentre token = "49c25'), (2, "éen mentre 7 d"), (3, "x éFOBé"), (4, "12 m éla")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(spark, str(tmp_path), QUERIES["requirement_runs"], ORACLE_SQL["requirement_runs"]) == []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.operators.company import REVIEWED, RULES, requirements
+from tidemill.operators.company import EDGES, REVIEWED, RULES, requirements
 from tidemill.operators.review import states
 
 # Fixed values.
@@ -55,10 +55,10 @@ def from_register(goods: DataFrame, order: list[str], block: Column) -> DataFram
     )
 
 
-def from_rules(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
+def from_rules(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, edges: tuple[str, str] = EDGES) -> DataFrame:
     """What the rules find in documents (tender_id, doc_id, text): conditions to be reviewed,
     numbered among the values of their name in a document, blanks 0. Null texts hold none."""
-    rows = requirements(docs.filter("tender_id IS NOT NULL"), ["tender_id", "doc_id"], rules=rules, place=True)
+    rows = requirements(docs.filter("tender_id IS NOT NULL"), ["tender_id", "doc_id"], rules=rules, place=True, edges=edges)
     return _shaped(
         rows, source=F.lit("document"), method=F.lit("rules"), ref=F.col("doc_id"), position_no=F.col("place"),
         qty=F.lit(None), unit=F.lit(None), mandatory=F.lit(True), status=F.lit("pending"),
