@@ -164,3 +164,18 @@ def test_prefix_join_of_any_length(spark):
     codes = spark.createDataFrame([("10.A",), ("1",), ("10.AB.01",), ("10",)], "code string")
     got = sorted((r.id, r.code) for r in matching.by_code(goods, codes).collect())
     assert got == [(1, "1"), (1, "10"), (1, "10.A"), (1, "10.AB.01"), (2, "1"), (2, "10"), (3, "1")]
+
+
+def test_six_places_as_the_sql_writes_them(spark):
+    """Ties to even and exact values: 1/128 ends in a half, 0.0000015 is less than it looks in single precision."""
+    import struct
+
+    import duckdb
+
+    from tidemill.functions import numbers
+
+    single = lambda x: struct.unpack("f", struct.pack("f", x))[0]
+    xs = [single(x) for x in (1 / 128, 3 / 128, -1 / 128, 5 / 128, 0.1234565, -0.0000001, 0.0, 12345.678, 1e12, 0.5000005, 0.0000015, 0.7654315)] + [single(i * 1e-6 + 5e-7) for i in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "x float")
+    got = [r[0] for r in df.coalesce(1).select(numbers.six_places(df.x)).collect()]
+    assert got == [duckdb.sql(f"SELECT printf('%.6f', {x!r}::FLOAT::DOUBLE)").fetchall()[0][0] for x in xs]

@@ -134,3 +134,12 @@ def validity(until: Column, perpetual: Column, today: Column, soon: int = 30) ->
         .when(left <= soon, "expiring_soon")
         .otherwise("ok")
     )
+
+
+def six_places(x: Column) -> Column:
+    """A single-precision number as text with six decimals, by its exact value as C writes it, halves
+    to even. (Java's format rounds the shortest decimal form half up.) A million times such
+    a number is exact in double precision."""
+    d = x.cast("float").cast("double")
+    text = F.format_string("%.6f", F.rint(d * 1e6) / 1e6)
+    return F.when(F.isnan(d), "nan").when(F.abs(d) == float("inf"), F.when(d > 0, "inf").otherwise("-inf")).when(d.isNotNull(), text)
