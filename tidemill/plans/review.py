@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import review as op
 from tidemill.plans.registry import query
-from tidemill.sources.tables import AS_OF, table, tenders
+from tidemill.sources.tables import AS_OF, dealt, table, tenders
 
 
 @query("""
@@ -41,4 +41,5 @@ d AS (SELECT id, stratum, (row_number() OVER (ORDER BY round, n))::INT AS place
 SELECT *, CASE WHEN place <= 10 THEN 'blind' ELSE 'anchored' END AS mode FROM d""")
 def pilot_sample(spark, sf_dir):
     """Nearest deadlines, a seeded sample and the dearest tenders, once each, dealt in rounds."""
-    return op.pilot(tenders(spark, sf_dir), AS_OF)
+    t = tenders(spark, sf_dir).select("id", "close_at", "totalcost")
+    return op.pilot(dealt(t, "id", table(spark, sf_dir, "orders")), AS_OF)
