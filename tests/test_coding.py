@@ -1,4 +1,5 @@
 from tidemill.operators import coding
+from tidemill.plans import QUERIES
 
 
 def test_families(spark):
@@ -41,3 +42,9 @@ def test_vectors_are_corrected_by_their_hubs(spark):
     products = spark.createDataFrame([(7, [1.0, 0.35]), (8, None)], "product_id long, v array<double>")
     got = sorted((r["rank"], r.code) for r in coding.by_vectors(products, codes).collect())
     assert [c for _, c in got][:2] == ["own", "same"] and len(got) == 6
+
+
+def test_lists_read_no_goods_again(spark):
+    """What the lists share is settled once, so the plan that fuses them reads none of the large tables."""
+    read = QUERIES["code_suggestion"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [f for f in read if f.startswith("file:///root/testdata")]

@@ -17,3 +17,11 @@ def test_positions_are_claimed_by_their_code(spark):
     codes = spark.createDataFrame([("11", 4, 7), ("11.2", 2, 3), ("13", 1, 1)], "code string, products long, first long")
     got = {tuple(r) for r in matching.claimed(goods, codes, ["tender_id", "lot_id"]).collect()}
     assert got == {(1, 1, "11.2", 6, 3), (1, 2, "11.3", 4, 7), (None, 1, "11.2", 6, 3)}
+
+
+def test_goods_of_some_tenders(spark):
+    """A tender's goods once, however often it is named, and none of no tender."""
+    sf = "/root/testdata/sf0.001"
+    of = spark.createDataFrame([(3,), (3,), (7,), (None,), (-1,)], "tender_id long")
+    got = sorted(map(tuple, tables.goods(spark, sf, of).collect()))
+    assert got and got == sorted(map(tuple, tables.goods(spark, sf).filter("tender_id IN (3, 7)").collect()))

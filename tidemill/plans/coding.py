@@ -13,7 +13,7 @@ from tidemill.operators import coding as op
 from tidemill.operators import search
 from tidemill.plans.registry import query
 from tidemill.plans.search import OPEN
-from tidemill.sources.tables import AS_OF, goods, table, tenders
+from tidemill.sources.tables import AS_OF, goods, stored, table, tenders
 
 #: What category a product's type stands for.
 CATEGORIES = {"ECONOMY": "oziq", "STANDARD": "metall", "PROMO": "transport/avto", "MEDIUM": "qurilish", "LARGE": "tibbiyot", "SMALL": "nothing"}
@@ -67,21 +67,24 @@ def code_suggestion(spark, sf_dir):
     """The codes suggested for each product, from the words of the codes'
     names, trigrams in both alphabets and vectors less hub bias, with the category's family as a prior."""
     part, e = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings")
-    live = tenders(spark, sf_dir).filter(search.is_open(AS_OF)).select(F.col("id").alias("tender_id"))
-    g = goods(spark, sf_dir).select("tender_id", F.substring("good_code", 1, 5).alias("code"), "name")
-    volumes = g.join(live, "tender_id").groupBy("code").agg(F.countDistinct("tender_id").alias("n_open"))
-    counted = g.groupBy("code", "name").agg(F.count("*").alias("n"))
+    live = tenders(spark, sf_dir).filter(search.is_open(AS_OF)).select(F.col("id").alias("tender_id")).distinct()
+    code = F.substring("good_code", 1, 5).alias("code")
+    # each list and each block of its queries reads these again: a row for each code, eight for its names, one for each product
+    volumes = stored(goods(spark, sf_dir, live).select(code, "tender_id").groupBy("code").agg(F.countDistinct("tender_id").alias("n_open")), "volumes")
+    counted = goods(spark, sf_dir).select(code, "name").groupBy("code", "name").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "name"))
-    names = counted.withColumn("place", place).filter("place <= 8").join(volumes.select("code"), "code", "left_semi")
+    names = stored(counted.join(volumes.select("code"), "code", "left_semi").withColumn("place", place).filter("place <= 8"), "names")
     kinds = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
     prod = part.groupBy("p_name").agg(F.min("p_partkey").alias("product_id"), F.min_by("p_type", "p_partkey").alias("kind"))
     prod = prod.select("product_id", F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("terms"), kinds[F.col("kind")].alias("category"), (460 + F.col("product_id") % 40).alias("vec_id"))
+    prod = stored(prod, "products")
     vectors = e.select("vec_id", F.col("embedding").alias("v"))
     code_id = F.substring("code", 1, 2).cast("long") * 9 + F.ascii(F.substring("code", 4, 1)) - 65
-    coded = volumes.select("code", code_id.alias("vec_id")).join(vectors, "vec_id").withColumnRenamed("vec_id", "code_id")
+    coded = stored(volumes.select("code", code_id.alias("vec_id")).join(vectors, "vec_id").withColumnRenamed("vec_id", "code_id"), "coded")
+    asked = stored(prod.select("product_id", "vec_id").join(vectors, "vec_id"), "asked")
     lists = {
         "words": op.by_words(prod, names),
         "trigrams": op.by_trigrams(prod, names),
-        "vectors": op.by_vectors(prod.join(vectors, "vec_id", "left"), coded),
+        "vectors": op.by_vectors(asked, coded),
     }
     return op.suggested(prod, lists, volumes).select("product_id", "code", "score", "signals", F.col("place").cast("long").alias("place"))
