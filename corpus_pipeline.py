@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from tidemill.llm.common import stored, table
 
+#: Parts of texts whose ids a worker of the last stage remembers: less than op2's, as its
+#: executor has held the other stages too.
+REMEMBERED = 300_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
@@ -30,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.op2(docs)
+    return packing.op2(docs, REMEMBERED)
 
 
 STAGES = [

@@ -69,3 +69,22 @@ def test_pack_round_trip(spark):
 
 def test_no_rows(spark):
     assert packing.op2(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_met_once_are_not_remembered():
+    words = packing.WordIds(packing.tokenizer_path())
+    once = [f"x{'abcdefghij'[n % 10]}{'klmnopqrst'[n // 10]}q" for n in range(50)]
+    first = [words.encode(w) for w in once]
+    assert not words and not words.older
+    assert [words.encode(w) for w in once] == first and words
+    words.remembered = 100
+    for n in range(2000):
+        words.encode(f"{'klmnopqrst'[n % 10]}{'abcdefghij'[n // 10 % 10]}{'uvwxyz'[n // 100 % 6]} " * 2)
+    assert len(words) + len(words.older) <= 100
+    assert [words.encode(w) for w in once] == first
+
+
+def test_places_need_no_python_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, "word " * n) for n in range(1, 40)], "doc_id long, text string")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("a list goes through a second group of workers"))
+    assert sum(r["length"] for r in packing.op2(docs).collect()) >= 39

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.llm.common import map_arrow, stored
-from tidemill.llm.tokens import WordIds, tokenizer_path, word_ids  # noqa: F401
+from tidemill.llm.tokens import CACHE_PARTS, WordIds, tokenizer_path, word_ids  # noqa: F401
 
 SEQUENCE = 2048
 END_ID = 0
@@ -53,7 +53,7 @@ _PIECE = T.StructType(
 
 
 def pieces(
-    docs: DataFrame, carry: list[str], text_col: str = "text", path: str | None = None, sequence: int = SEQUENCE
+    docs: DataFrame, carry: list[str], text_col: str = "text", path: str | None = None, sequence: int = SEQUENCE, remembered: int = CACHE_PARTS
 ) -> DataFrame:
     """A row for each piece: struct ``row`` with the carried columns and the piece's
     number, start, length and checksum. (task, length, nth) number the pieces."""
@@ -66,7 +66,7 @@ def pieces(
 
         words, task, seen, end = None, TaskContext.get().partitionId(), [0] * (sequence + 1), struct.pack("<I", END_ID)
         for batch in batches:
-            words = words if words is not None else word_ids(path)
+            words = words if words is not None else word_ids(path, remembered)
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 took, rows = [], []
@@ -236,19 +236,18 @@ def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> Plan:
 
 
 def pack(
-    docs: DataFrame, carry: list[str], text_col: str = "text", path: str | None = None, sequence: int = SEQUENCE
+    docs: DataFrame, carry: list[str], text_col: str = "text", path: str | None = None, sequence: int = SEQUENCE, remembered: int = CACHE_PARTS
 ) -> DataFrame:
     """Struct ``row`` with the carried columns, and piece, start, length, ids_crc32,
     sequence_id and offset of every piece."""
     spark = docs.sparkSession
-    found = stored(pieces(docs, carry, text_col, path, sequence), "pieces")
+    found = stored(pieces(docs, carry, text_col, path, sequence, remembered), "pieces")
     by_task = found.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    # at most `sequence` lengths went in, so the places are a small table too
-    places = spark.createDataFrame(
-        plan(histogram, sequence).rows if histogram else [],
-        "length long, first long, past long, base long, each long, at long",
-    )
+    # at most `sequence` lengths went in, so the places are a small table too; an Arrow table,
+    # as a list would start a second group of Python workers on each executor
+    rows, names = plan(histogram, sequence).rows if histogram else [], ["length", "first", "past", "base", "each", "at"]
+    places = spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)}))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     numbered = found.join(starts, ["task", "length"]).withColumn("number", F.col("before") + F.col("nth"))
@@ -268,6 +267,6 @@ def pack(
     )
 
 
-def op2(docs: DataFrame) -> DataFrame:
+def op2(docs: DataFrame, remembered: int = CACHE_PARTS) -> DataFrame:
     rest = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return pack(docs, ["doc_id"]).select("row.doc_id", *rest)
+    return pack(docs, ["doc_id"], remembered=remembered).select("row.doc_id", *rest)
