@@ -134,3 +134,34 @@ def test_runs_with_marks_before_words_as_in_sql(spark, tmp_path):
     texts = [(1, 'éen mentre token = "49c25'), (2, "éen mentre 7 d"), (3, "x éFOBé"), (4, "12 m éla")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert differences(spark, str(tmp_path), QUERIES["requirement_runs"], ORACLE_SQL["requirement_runs"]) == []
+
+
+REQUIREMENTS = ("requirement_merge", "requirement_gate", "requirement_summary", "requirement_runs")
+
+
+@pytest.mark.parametrize("name", REQUIREMENTS)
+def test_rows_are_dealt_by_tender_once(spark, name):
+    """Goods, rules' rows and decisions go to their tender, and nothing is shuffled by position, item or tender after that."""
+    from tidemill.plans import QUERIES
+
+    lines = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles = [line for line in lines if "Exchange hashpartitioning" in line]
+    assert [line for line in shuffles if any(c in line for c in ("position_no", "item_id", "_block", "source"))] == []
+    by_tender = [line for line in shuffles if "REPARTITION_BY_NUM" in line]
+    assert len(by_tender) == (4 if name == "requirement_runs" else 3)
+    assert not [line for line in shuffles if line not in by_tender and "tender_id" in line]
+
+
+@pytest.mark.parametrize("name", REQUIREMENTS)
+def test_large_tenders_go_by_blocks_as_in_sql(spark, monkeypatch, name):
+    from oracle import differences
+
+    from tidemill.plans import ORACLE_SQL, QUERIES, demands as plan
+    from tidemill.sources.tables import crowded, table
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(plan, "CROWD", 7, raising=False)
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").count()
+    large = {r[0] for r in rows.filter("count >= 7").collect()}
+    assert 0 < len(large) < rows.count() and {r.key for r in crowded(table(spark, sf, "lineitem"), "l_orderkey", 7, 64).collect()} == large
+    assert differences(spark, sf, QUERIES[name], ORACLE_SQL[name]) == []

@@ -12,12 +12,17 @@ BULK_STATES = ("approved", "rejected")
 LONGEST_VALUE = 2000
 
 
-def _written(c: str) -> Column:
+def written(c: Column | str) -> Column:
     """A written value without white space around it, cut to its longest; null if nothing is left."""
     own = F.substring(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), 1, LONGEST_VALUE)
     return F.nullif(own, F.lit(""))
 
 
+def holds(status: Column, corrected: Column) -> Column:
+    """Whether a single decision is one: of a known state, and a correction with a value."""
+    return status.isin(*STATES) & ((status != "corrected") | corrected.isNotNull())
+
+
 def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """What decisions in order of seq make of items (item_id, tender_id), which are pending
     before them or in the state that ``initial`` gives.
@@ -35,14 +40,21 @@ def states(items: DataFrame, decisions: DataFrame, salts: int = 16, initial: Col
     single ones are a partial aggregate, and bulk ones meet salted parts of a tender in one
     sorted pass.
     """
-    d = decisions.withColumns({"corrected": _written("corrected"), "blind": _written("blind")})
-    single = d.filter(F.col("item_id").isNotNull() & F.col("status").isin(*STATES) & ((F.col("status") != "corrected") | F.col("corrected").isNotNull()))
+    d = decisions.withColumns({"corrected": written("corrected"), "blind": written("blind")})
+    single = d.filter(F.col("item_id").isNotNull() & holds(F.col("status"), F.col("corrected")))
     last = single.groupBy("item_id").agg(
         F.max(F.struct("seq", "status", "corrected")).alias("_last"),
         F.min(F.when(F.col("blind").isNotNull(), F.struct("seq", "blind"))).alias("_blind"),
     )
     first = F.coalesce(F.lit(None) if initial is None else initial, F.lit("pending"))
     own = items.select("item_id", "tender_id", first.alias("_first"), F.struct(*carry, F.lit(0).alias("_")).alias("_carry")).join(last, "item_id", "left")
+    return after_bulk(own, d, salts, carry)
+
+
+def after_bulk(own: DataFrame, d: DataFrame, salts: int, carry: tuple[str, ...]) -> DataFrame:
+    """The second half of ``states``: items (item_id, tender_id, _first, _carry) with their last single
+    decision (_last) and first blind value (_blind), and what bulk decisions make of them. Items and
+    decisions that are dealt by tender already are not shuffled again."""
     parts = [F.col("tender_id"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int").alias("_salt"), F.col("_last.seq").alias("_seq")]
     rows = own.select("item_id", *parts, "_first", "_carry", "_last", "_blind", F.lit(None).cast("struct<seq:bigint,status:string>").alias("_bulk"))
     bulk = d.filter(F.col("item_id").isNull() & F.col("tender_id").isNotNull() & F.col("status").isin(*BULK_STATES))
